@@ -15,7 +15,7 @@ def last_n(df: DataFrame, partition: Sequence[str], offset: Sequence[str], n: in
 
 
 def latest(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key by one aggregate, combined in each task: no sort, no hot key."""
+    """The last row of each key by one aggregate: each task sends one row a key, so no key is hot."""
     rest = [c for c in df.columns if c not in by]
     best = df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
     return best.select(*by, "_r.*").select(*df.columns)

@@ -31,9 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_readings(table(spark, sf_dir, "events"))
+
+
+def as_readings(events: DataFrame) -> DataFrame:
     """``events`` as station readings: value is the temperature, props.k the humidity, the rest follows event_id."""
     i = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         "event_id",
         "user_id",
         F.col("event_type").alias("station"),

@@ -5,12 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def new_path(spark: SparkSession, name: str = "step") -> str:
+    """A new path below ``spark.checkpoint.dir``; in a folder of our own only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Written below ``spark.checkpoint.dir`` and read back; a folder of our own only where that is unset."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
+    """Written to the shared folder and read back."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
