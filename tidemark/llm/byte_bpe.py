@@ -28,15 +28,19 @@ from .common import stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _ENCODINGS: dict[tuple[str, str], tiktoken.Encoding] = {}
-_BYTES: dict[tuple[str, str], list[bytes]] = {}
+_BYTES: dict[str, dict[int, bytes]] = {}
+ROWS = 500  # documents that a task holds as ids at once
+
+
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     """One encoder for each worker process."""
     if (path, pattern) not in _ENCODINGS:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODINGS[path, pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODINGS[path, pattern] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
     return _ENCODINGS[path, pattern]
 
 
@@ -53,8 +57,10 @@ def resync_points(text: str, pattern: str, offset: int) -> np.ndarray:
 def _encode_short(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(path, pattern)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [id_bytes(enc, t) for t in b["text"]]})
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                b = whole.iloc[at : at + ROWS]
+                yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [id_bytes(enc, t) for t in b["text"]]})
 
     return docs.mapInPandas(run, "doc_id long, ids binary")
 
@@ -111,17 +117,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     return _encode_short(short, path, pattern).unionByName(_encode_long(long, path, pattern, chunk, overlap))
 
 
-def decode(encoded: DataFrame, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     """Adds decoded: the raw bytes of the ids, joined."""
     path = ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path, pattern)
-        if (path, pattern) not in _BYTES:
-            _BYTES[path, pattern] = [enc.decode_single_token_bytes(i) for i in range(enc.n_vocab)]
-        table = _BYTES[path, pattern]
-        for b in batches:
-            yield b.assign(decoded=[b"".join(map(table.__getitem__, np.frombuffer(i, dtype="<u4").tolist())) for i in b["ids"]])
+        if path not in _BYTES:
+            _BYTES[path] = {i: b for b, i in ranks_of(path).items()}
+        table = _BYTES[path]
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                b = whole.iloc[at : at + ROWS]
+                yield b.assign(decoded=[b"".join(map(table.__getitem__, np.frombuffer(i, dtype="<u4").tolist())) for i in b["ids"]])
 
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, decoded binary")
 
