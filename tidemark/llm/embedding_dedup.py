@@ -131,7 +131,7 @@ def _split_hot(routed: DataFrame, cell_rows: int) -> DataFrame:
     return dealt.withColumns({"pair_a": F.least("chunk", "other"), "pair_b": F.greatest("chunk", "other")}).drop("other")
 
 
-def links_of_classes(classes: DataFrame, threshold: float, blocks: int = 4, cell_target: int = 1024, cell_rows: int = 4096) -> DataFrame:
+def links_of_classes(classes: DataFrame, threshold: float, blocks: int = 4, cell_target: int = 4096, cell_rows: int = 8192) -> DataFrame:
     """(a, b, n): b null and n a count of links of a, or a star edge a - b."""
     spark = classes.sparkSession
     total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
