@@ -1,11 +1,13 @@
-"""What the operators share: the folder that all executors see, written tables, and components."""
+"""What the operators share: the folder that all executors see, written tables, filters, and components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Only where no cluster names a shared folder (tests, one machine).
@@ -32,6 +34,13 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most that many whole texts at once in a Python worker, for the session; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,6 +50,51 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def _probes(key: Column, bits: int, hashes: int = 3) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(hashes)]
+
+
+def bloom_words(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """The Bloom filter of a column as ``bits / 64`` words; tasks OR them before anything is sent."""
+    at = keys.select(F.explode(F.array(*_probes(F.col(key), bits))).alias("at"))
+    one = at.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
+    words = np.zeros(bits // 64, dtype=np.int64)
+    got = one.toPandas()
+    words[got["word"].to_numpy(dtype=np.int64)] = got["set"].to_numpy(dtype=np.int64)
+    return words
+
+
+def passing(rows: DataFrame, key: Column, words: np.ndarray, bits: int, passes: bool = True) -> DataFrame:
+    """Rows whose key may be in the filter or, with ``passes`` off, the others; a null key is among the others."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def probe(h0: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
+        w = shared.value
+        hit = np.ones(len(h0), dtype=bool)
+        for h in (h0, h1, h2):
+            a = h.to_numpy(dtype=np.int64)
+            hit &= (w[a >> 6] >> (a & 63)) & 1 == 1
+        return pd.Series(hit)
+
+    found = key.isNotNull() & probe(*_probes(key, bits))
+    return rows.where(found if passes else ~found)
+
+
+def parted(rows: DataFrame, key: Column, keys: DataFrame, name: str, bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ``keys``, all others). Only the first need a shuffle to meet ``keys``; a filter that
+    has become too full for the keys sends more rows there and loses none."""
+    words = bloom_words(keys, name, bits)
+    return passing(rows, key, words, bits), passing(rows, key, words, bits, passes=False)
+
+
+def without(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is not in ``keys``. Rows with a null key stay."""
+    keys = stored(keys.select(F.col(name).alias("__tidemark_key")), "keys")
+    some, rest = parted(rows, key, keys, "__tidemark_key")
+    return rest.unionByName(some.join(keys, key == F.col("__tidemark_key"), "left_anti"))
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node reachable.
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bloom_words, passing, stored, without
 
 SPACES = r"[\x20\x09-\x0D]+"
 RUN_SCHEMA = "run long, digest long, sha string, min_id long, n long, ids array<long>"
@@ -71,36 +71,6 @@ def compact(runs: DataFrame) -> DataFrame:
     return runs.groupBy("digest").agg(F.min("min_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
-def _probes(key: Column, bits: int, hashes: int = 3) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(hashes)]
-
-
-def bloom_words(keys: DataFrame, key: str, bits: int) -> np.ndarray:
-    """The Bloom filter of a column as ``bits / 64`` words; tasks OR them before anything is sent."""
-    at = keys.select(F.explode(F.array(*_probes(F.col(key), bits))).alias("at"))
-    one = at.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
-    words = np.zeros(bits // 64, dtype=np.int64)
-    got = one.toPandas()
-    words[got["word"].to_numpy(dtype=np.int64)] = got["set"].to_numpy(dtype=np.int64)
-    return words
-
-
-def passing(rows: DataFrame, key: str, words: np.ndarray, bits: int) -> DataFrame:
-    """Rows whose key may be in the filter; columns h0, h1, h2 hold the probes and are dropped."""
-    shared = rows.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def probe(h0: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
-        w = shared.value
-        hit = np.ones(len(h0), dtype=bool)
-        for h in (h0, h1, h2):
-            a = h.to_numpy(dtype=np.int64)
-            hit &= (w[a >> 6] >> (a & 63)) & 1 == 1
-        return pd.Series(hit)
-
-    return rows.where(probe(*_probes(F.col(key), bits)))
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 65_536, filter_bits: int = 1 << 23, key=digest) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -114,7 +84,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     index = stored(compact(runs.select("digest", "min_id", "n")), "index")
 
     words = bloom_words(index.where("group_size > 1").select("digest"), "digest", filter_bits)
-    hits = passing(filed, "digest", words, filter_bits)
+    hits = passing(filed, F.col("digest"), words, filter_bits)
     verified = stored(hits.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).select("digest", "keep_id", "group_size"), "verified")
     collided = stored(verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest"), "collided")
 
@@ -136,5 +106,5 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns. Repeated rows of a kept id all stay."""
-    dropped = exact_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    dropped = exact_duplicates(docs, id_col, text_col, **options).where("not kept").select("doc_id").distinct()
+    return without(docs, F.col(id_col).cast("long"), dropped, "doc_id")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import parted, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Fixed values of the contract, in forms that need no second look at a character (runs are taken whole).
@@ -146,8 +146,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
         return rows.select("doc_id", "text_hash", "base", empty.alias("found"))
     sure = confident_patterns(nodes.select("pattern", "instance", "rank", "seed"), **options)
     found = unknown.join(sure.select("pattern", "rank"), ["pattern", "rank"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "rank", "end"))).alias("found"))
-    named = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "found")
-    out = rows.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    named = found.select(F.col("doc_id").alias("__tidemark_id"), F.col("text_hash").alias("__tidemark_hash"), "found")
+    out = rows.join(named, F.col("doc_id").eqNullSafe(F.col("__tidemark_id")) & (F.col("text_hash") == F.col("__tidemark_hash")), "left")
     return out.select("doc_id", "text_hash", "base", F.coalesce("found", empty).alias("found"))
 
 
@@ -162,7 +162,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with each span replaced by its kind in brackets (overlapping ones by the first); n_chars follows."""
     hit = spans(docs, id_col, text_col, **options).withColumn("s", F.array_sort(F.concat("base", "found"))).where("size(s) > 0")
-    hit = hit.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "s").dropDuplicates(["_id", "_hash"]).select("_id", "_hash", F.col("s").alias("_spans"))
+    hit = hit.select(F.col("doc_id").alias("__tidemark_id"), F.col("text_hash").alias("__tidemark_hash"), "s").dropDuplicates(["__tidemark_id", "__tidemark_hash"]).select("__tidemark_id", "__tidemark_hash", F.col("s").alias("__tidemark_spans"))
 
     @F.pandas_udf("string")
     def hide(text: pd.Series, found: pd.Series) -> pd.Series:
@@ -176,8 +176,12 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
             out.append(t if not parts else "".join([*parts, t[at:]]))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash")), "left")
-    clean = joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), hide(F.coalesce(F.col(text_col), F.lit("")), F.col("_spans"))).otherwise(F.col(text_col)))
+    hit = stored(hit, "hits")
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    some, rest = parted(docs, text_hash, hit.select("__tidemark_hash"), "__tidemark_hash")
+    some = stored(some, "with_spans")  # few texts; so no task runs two Python functions at once
+    joined = some.join(hit, F.col(id_col).cast("long").eqNullSafe(F.col("__tidemark_id")) & (text_hash == F.col("__tidemark_hash")), "left")
+    clean = joined.withColumn(text_col, F.when(F.col("__tidemark_spans").isNotNull(), hide(F.coalesce(F.col(text_col), F.lit("")), F.col("__tidemark_spans"))).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+        clean = clean.withColumn("n_chars", F.when(F.col("__tidemark_spans").isNotNull(), F.char_length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rest.unionByName(clean.select(*docs.columns))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, stored
+from .common import remainder
 
 SYMBOLS = [ord(c) for c in ".,!?;:|%$&*#=<>{}[]()/\\_-+@~^\"'"]
 
@@ -54,14 +54,6 @@ def statistics(text: str | None) -> np.ndarray:
 WIDTH = len(statistics(""))
 
 
-def featurised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "x": [statistics(t) for t in b["text"]]})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, x array<double>")
-
-
 @dataclass
 class Forest:
     """All trees in five arrays; roots[t] is where tree t begins, and a leaf is its own child."""
@@ -142,24 +134,40 @@ def bounded_sample(rows: DataFrame, sample: int) -> DataFrame:
     return rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_out: int = 2, cut: float = 0.7, sample: int = 20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
-    rows = stored(featurised(docs, id_col, text_col), "statistics")
-    learn = rows.join(known_labels(labels, "doc_id", label_col), "doc_id").where(remainder("doc_id", folds) != held_out)
-    got = bounded_sample(learn, sample).select("x", "label").toPandas()
-    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, WIDTH))
-    shared = rows.sparkSession.sparkContext.broadcast(train(x, got["label"].to_numpy(dtype=np.float64)))
+def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_out: int = 2, sample: int = 20_000) -> Forest:
+    """Learns from about ``sample`` labelled documents of the training folds, all if there are fewer."""
+    known = known_labels(labels, "doc_id", label_col).where(remainder("doc_id", folds) != held_out)
+    chosen = bounded_sample(known, sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            s = shared.value.score(np.stack(b["x"].to_numpy())) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s})
+            yield pd.DataFrame({"label": b["label"], "x": [statistics(t) for t in b["text"]]})
 
-    out = rows.mapInPandas(run, "doc_id long, score double")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    got = base.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInPandas(run, "label int, x array<double>").toPandas()
+    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, WIDTH))
+    return train(x, got["label"].to_numpy(dtype=np.float64))
+
+
+def score_of(forest: Forest, docs: DataFrame):
+    """A function of a text column; statistics and trees in one pass, nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score(np.stack([statistics(t) for t in text])) if len(text) else np.zeros(0))
+
+    return score
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2, cut: float = 0.7, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    score = score_of(trained(docs, labels, id_col, text_col, folds=folds, held_out=held_out, **options), docs)
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(F.col(text_col)).alias("score"))
     return out.select("doc_id", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their own columns; null ids stay."""
-    bad = scored(docs, labels, id_col, text_col, **options).where("predicted = 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    score = score_of(trained(docs, labels, id_col, text_col, **options), docs)
+    return docs.where(F.col(id_col).isNull() | (score(F.col(text_col)) >= cut))

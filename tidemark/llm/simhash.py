@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, stored, without
 
 FANOUT = 8
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -228,5 +228,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with their own columns."""
-    dropped = near_duplicates(docs, id_col, text_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
+    dropped = near_duplicates(docs, id_col, text_col, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    return without(docs, F.col(id_col).cast("long"), dropped, "doc_id")
