@@ -136,6 +136,13 @@ def test_lm_filter_holds_levels_and_pairs_help_where_words_follow_each_other(spa
     assert np.mean([r["score"] / r["n_tokens"] for r in got]) > np.mean([r["base_score"] / r["n_tokens"] for r in got])
 
 
+def test_lm_filter_keeps_every_level_in_small_parts(spark):
+    rng = np.random.default_rng(8)
+    key, n = rng.integers(0, 2**63, 3000).astype(np.uint64), rng.integers(2, 40, 3000)
+    df = spark.createDataFrame([(int(k & np.uint64(4095)), int(k.astype(np.int64)), int(x)) for k, x in zip(key, n, strict=True)], "segment int, key long, n long")
+    assert (lm_score.build_filter(df, most_bits=1 << 12).levels(key) >= lm_score.level_of(n)).all()
+
+
 def test_lm_empty(nothing):
     assert lm_score.scored(nothing).count() == 0
 

@@ -1,14 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counting: tasks hash words and word pairs of the training documents and count them in memory, Spark adds the counts
-up by hash. A count c becomes the level 1 + floor(log2 c), and an n-gram enters the filter once for each level from 2
-to its own, so n-grams seen once stay out. Filter segments are built side by side, each from its own hashes, and hold
-at most ``most_bits`` bits together; that bound is what is broadcast. Scoring probes level after level until one is
-missing and takes the middle of the last level as the count; pair and word probabilities are interpolated.
+Documents are packed into slabs of some megabytes of text. A slab hashes its words and word pairs, makes them distinct
+and sends them, with their training counts, to the segments that the first bits of the hashes name. A segment adds the
+counts up and builds its own part of the filter: a count c becomes the level 1 + floor(log2 c), and an n-gram enters
+once for each level from 2 to its own, so n-grams seen once stay out. The part has as many bits as its entries need. The
+segment then probes it for every n-gram that it was asked for, level after level until one is missing, and sends a byte
+a piece back to the slab, which takes the middle of the last level as the count; pair and word probabilities are
+interpolated. No part of the filter leaves its task, and there are more segments when there are more shuffle
+partitions, so the least level is the same at every size.
 
-The base score needs exact counts. Words with at least a ``1 / table_rows`` share of all tokens, of which there can be
-no more than ``table_rows``, are looked up in a broadcast table. A document's other words are joined with the counts
-by hash: each of them is rare, so no key is hot.
+The base score needs exact counts of words; they come back with the levels. A word asks once a slab: no key is hot.
 
 Words are known by 64-bit hashes: two of a billion words meet with a chance of about 0.03 in the whole corpus.
 
@@ -22,19 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, stored
+from .common import remainder, small_batches, stored
 
 END = np.uint64(xxhash.xxh64_intdigest(b" end "))  # no word holds a space
-SEGMENTS = 4096
 PROBES = 4
+LEAST = 2  # level
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "replace").lower().split()  # ASCII rules: A-Z and six spaces
+def token_hashes(text: str | bytes | None) -> np.ndarray:
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
+    words = raw.lower().split()  # ASCII rules: A-Z and six spaces
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
     return np.r_[h, END]
 
@@ -45,171 +48,221 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def pair_hashes(tokens: np.ndarray) -> np.ndarray:
-    """Pairs of neighbours of one document; the first word follows an end."""
+    """Pairs of neighbours of one document or of several on end; the first word follows an end."""
     before = np.r_[END, tokens[:-1]]
     return mixed(before * np.uint64(0x9E3779B97F4A7C15) + mixed(tokens))
 
 
-def counted(docs: DataFrame, buffer: int = 2_000_000) -> DataFrame:
-    """docs: text. (segment, kind, key, n) with kind 1 for words and 2 for pairs."""
+def middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level: 1 for 1, 2.5 for 2 (two and three), 5.5 for 3."""
+    return (2.0 ** (level - 1) + 2.0**level - 1) / 2
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {1: [], 2: []}
-        size = 0
 
-        def flush() -> Iterator[pd.DataFrame]:
-            for kind, parts in held.items():
-                key, n = np.unique(np.concatenate(parts), return_counts=True)
-                parts.clear()
-                for at in range(0, len(key), 500_000):
-                    k = key[at : at + 500_000]
-                    yield pd.DataFrame({"segment": (k & np.uint64(SEGMENTS - 1)).astype(np.int32), "kind": np.int8(kind), "key": k.view(np.int64), "n": n[at : at + 500_000]})
+def level_of(n: np.ndarray) -> np.ndarray:
+    return np.frexp(n.astype(np.float64))[1].astype(np.int64)
 
-        for b in batches:
-            for text in b["text"]:
-                tokens = token_hashes(text)
-                held[1].append(tokens)
-                held[2].append(pair_hashes(tokens))
-                size += len(tokens)
-                if size >= buffer:
-                    yield from flush()
-                    size = 0
-        if size:
-            yield from flush()
 
-    local = docs.mapInPandas(run, "segment int, kind byte, key long, n long")
-    return local.groupBy("segment", "kind", "key").agg(F.sum("n").alias("n"))
+class LogFilter:
+    """A part of the filter, from its n-grams and their counts; a byte holds a bit while the part is in use."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, bits_per_entry: int = 10):
+        top = level_of(n)
+        entries = int(np.maximum(top - LEAST + 1, 0).sum())
+        self.bits = np.uint64(max(64, entries * bits_per_entry))
+        self.held = np.zeros(int(self.bits), dtype=bool)
+        for level in range(LEAST, int(top.max(initial=0)) + 1):
+            for at in self.places(key[top >= level], level):
+                self.held[at] = True
+
+    def places(self, key: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        h = mixed(key + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        for probe in range(PROBES):
+            yield (h + np.uint64(probe) * step) % self.bits
+
+    def found(self, key: np.ndarray) -> np.ndarray:
+        """The highest level without a gap below it, from repeated probes; ``LEAST - 1`` if there is none."""
+        out = np.full(len(key), LEAST - 1, dtype=np.int64)
+        left, level = np.arange(len(key)), LEAST
+        while len(left):
+            hit = np.ones(len(left), dtype=bool)
+            for at in self.places(key[left], level):
+                hit &= self.held[at]
+            left = left[hit]
+            out[left] = level
+            level += 1
+        return out
+
 
+def segment_starts(key: np.ndarray, segments: int) -> np.ndarray:
+    """Where each segment begins in sorted hashes, and their end; segments are a power of two of 2 and more."""
+    first = np.arange(1, segments, dtype=np.uint64) << np.uint64(65 - segments.bit_length())
+    return np.r_[0, np.searchsorted(key, first), len(key)]
 
-class LogFilter:
-    """Segments of bits; a hash's segment is its lowest bits."""
 
-    def __init__(self, bits_each: int, words: np.ndarray | None = None):
-        self.bits = np.uint64(bits_each)
-        self.words = np.zeros(SEGMENTS * bits_each // 64, dtype=np.uint64) if words is None else words
+class Segments:
+    """The whole filter of a small table of counts, as parts of at most ``most_bits`` bits (two entries at least)."""
 
-    def places(self, key: np.ndarray, level: int, probe: int) -> np.ndarray:
-        h = mixed(key + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-        at = (h + np.uint64(probe) * ((h >> np.uint64(32)) | np.uint64(1))) % self.bits
-        return (key & np.uint64(SEGMENTS - 1)) * self.bits + at
+    def __init__(self, key: np.ndarray, n: np.ndarray, bits_per_entry: int, most_bits: int):
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        self.count = 1
+        while True:
+            self.count *= 2
+            at = segment_starts(key, self.count)
+            self.parts = [LogFilter(key[s:e], n[s:e], bits_per_entry) for s, e in zip(at[:-1], at[1:], strict=True)]
+            if self.count >= len(key) or max(int(p.bits) for p in self.parts) <= most_bits:
+                break
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """The highest level without a gap below it, from repeated probes; 1 if there is none."""
+        """As ``LogFilter.found``, 1 at least."""
         out = np.ones(len(key), dtype=np.int64)
-        left, level = np.arange(len(key)), 2
-        while len(left):
-            for probe in range(PROBES):
-                at = self.places(key[left], level, probe)
-                left = left[(self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-            out[left] = level
-            level += 1
+        own = key >> np.uint64(65 - self.count.bit_length())
+        for s, part in enumerate(self.parts):
+            out[own == s] = np.maximum(part.found(key[own == s]), 1)
         return out
 
 
-def middle(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts of a level: 1 for 1, 2.5 for 2 (two and three), 5.5 for 3."""
-    return (2.0 ** (level - 1) + 2.0**level - 1) / 2
+def build_filter(counts: DataFrame, bits_per_entry: int = 10, most_bits: int = 1 << 29) -> Segments:
+    """counts: key, n; a table that fits the driver. The parts are those that ``scored`` builds side by side."""
+    t = counts.select("key", "n").toPandas()
+    return Segments(t["key"].to_numpy(dtype=np.int64).view(np.uint64), t["n"].to_numpy(dtype=np.int64), bits_per_entry, most_bits)
 
 
-def level_of(n: np.ndarray) -> np.ndarray:
-    return np.frexp(n.astype(np.float64))[1].astype(np.int64)
+SLAB = "ids binary, none binary, held binary, size binary, text binary"
+
+
+def slabs(base: DataFrame, most: int = 6_000_000) -> DataFrame:
+    """base: doc_id, held_out, text. One row for documents of ``most`` bytes together: slab and the fields of SLAB."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec = pa.Codec("zstd")
+        held: list[tuple[np.ndarray, ...]] = []
+        texts: list[bytes] = []
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            ids, none, out = (np.concatenate(x).tobytes() for x in zip(*held, strict=True))
+            row = {"ids": ids, "none": none, "held": out, "size": np.array([len(t) for t in texts], dtype=np.int64).tobytes(), "text": codec.compress(b"".join(texts), asbytes=True)}
+            held.clear()
+            texts.clear()
+            return pd.DataFrame({k: [v] for k, v in row.items()})
+
+        for b in batches:
+            ids, none, out = b["id"].to_numpy(dtype=np.int64), b["none"].to_numpy(dtype=bool), b["held_out"].to_numpy(dtype=bool)
+            at = 0
+            for i, text in enumerate(b["text"]):
+                texts.append((text or "").encode("utf-8", "replace"))
+                size += len(texts[-1]) + 1
+                if size >= most or i == len(b) - 1:
+                    held.append((ids[at : i + 1], none[at : i + 1], out[at : i + 1]))
+                    at = i + 1
+                if size >= most:
+                    yield flush()
+                    size = 0
+        if texts:
+            yield flush()
 
+    rows = base.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "held_out", "text")
+    return rows.mapInPandas(run, SLAB).select(F.monotonically_increasing_id().alias("slab"), "*")
 
-def build_filter(counts: DataFrame, bits_per_entry: int = 10, most_bits: int = 1 << 29) -> LogFilter:
-    """Filter of the stored counts of at least 2. Where the bound is short, the least level rises until the rest fits."""
-    level = F.floor(F.log2(F.col("n").cast("double")) + 1e-12).cast("int") + 1
-    by_level = {r["level"]: r["n"] for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
-    least, entries = 2, 0
-    for least in range(2, 64):
-        entries = sum(n * (top - 1) for top, n in by_level.items() if top >= least)
-        if entries * bits_per_entry <= most_bits:
-            break
-    bits = SEGMENTS << 13  # segments of a few hundred bits would fill unevenly
-    while bits < entries * bits_per_entry and bits < most_bits:
-        bits *= 2
-    each = bits // SEGMENTS
+
+class Slab:
+    """The documents of a slab and their distinct n-grams, in order of hash."""
+
+    def __init__(self, size: bytes, text: bytes):
+        length = np.frombuffer(size, dtype=np.int64)
+        raw = pa.Codec("zstd").decompress(text, decompressed_size=int(length.sum()), asbytes=True) if length.sum() else b""
+        end = np.cumsum(length)
+        docs = [token_hashes(raw[e - n : e]) for n, e in zip(length.tolist(), end.tolist(), strict=True)]
+        self.size = np.array([len(d) for d in docs])
+        self.starts = np.cumsum(self.size) - self.size
+        tokens = np.concatenate(docs)
+        self.words, self.word_at = np.unique(tokens, return_inverse=True)
+        self.pairs, self.pair_at = np.unique(pair_hashes(tokens), return_inverse=True)
+
+
+def asked(packed: DataFrame, segments: int) -> DataFrame:
+    """slab, segment, and the slab's words and pairs of that segment with their counts in training documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made: dict[int, np.ndarray] = {}
-        f = LogFilter(each, np.zeros(0, dtype=np.uint64))
         for b in batches:
-            key, top = b["key"].to_numpy().view(np.uint64), level_of(b["n"].to_numpy())
-            key, top = key[top >= least], top[top >= least]
-            for lv in range(2, int(top.max(initial=0)) + 1):
-                k = key[top >= lv]
-                for probe in range(PROBES):
-                    at = np.sort(f.places(k, lv, probe))
-                    seg = (at // f.bits).astype(np.int64)
-                    edge = np.r_[0, np.flatnonzero(seg[1:] != seg[:-1]) + 1, len(seg)]
-                    for s, e in zip(edge[:-1], edge[1:], strict=True):
-                        if e > s:
-                            own = made.setdefault(int(seg[s]), np.zeros(each // 64, dtype=np.uint64))
-                            inside = at[s:e] % f.bits
-                            np.bitwise_or.at(own, (inside >> np.uint64(6)).astype(np.int64), np.uint64(1) << (inside & np.uint64(63)))
-        if made:
-            yield pd.DataFrame({"segment": list(made), "bits": [w.tobytes() for w in made.values()]})
-
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = LogFilter(each)
-    for r in counts.where("n >= 2").select("segment", "key", "n").repartition(n, "segment").mapInPandas(run, "segment int, bits binary").collect():  # at most most_bits / 8 bytes
-        whole.words[r["segment"] * (each // 64) : (r["segment"] + 1) * (each // 64)] |= np.frombuffer(r["bits"], dtype=np.uint64)
-    return whole
+            for slab, held, size, text in zip(b["slab"], b["held"], b["size"], b["text"], strict=True):
+                s = Slab(size, text)
+                trains = np.repeat(~np.frombuffer(held, dtype=bool), s.size)
+                row: dict[str, list] = {}
+                for name, key, at in (("word", s.words, s.word_at), ("pair", s.pairs, s.pair_at)):
+                    n = np.bincount(at[trains], minlength=len(key)).astype(np.uint32)
+                    cut = segment_starts(key, segments)
+                    for field, values in ((name, key), (f"{name}_n", n)):
+                        row[field] = [values[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                out = pd.DataFrame({"slab": slab, "segment": np.arange(segments, dtype=np.int32), **row})
+                yield out[(out["word"].str.len() + out["pair"].str.len()) > 0]
+
+    return packed.select("slab", "held", "size", "text").mapInPandas(run, "slab long, segment int, word binary, word_n binary, pair binary, pair_n binary")
+
+
+def answered(rows: DataFrame) -> DataFrame:
+    """For each row of ``asked`` slab, segment, exact counts of its words, levels of its words and of its pairs. A row
+    without a slab has the segment's training tokens, distinct words, and tokens of pairs that stand again."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        keys, counts, backs, cuts = [], [], [], []
+        for name in ("word", "pair"):
+            key, back = np.unique(np.frombuffer(b"".join(t[name]), dtype=np.uint64), return_inverse=True)
+            n = np.bincount(back, weights=np.frombuffer(b"".join(t[f"{name}_n"]), dtype=np.uint32), minlength=len(key)).astype(np.int64)
+            keys.append(key)
+            counts.append(n)
+            backs.append(back)
+            cuts.append(np.r_[0, np.cumsum(t[name].str.len().to_numpy() // 8)].astype(np.int64))
+        f = LogFilter(np.concatenate(keys), np.concatenate(counts))
+        exact = counts[0][backs[0]]
+        word, pair = (f.found(k).astype(np.uint8)[b] for k, b in zip(keys, backs, strict=True))
+        columns = {"word_n": (exact, cuts[0]), "word_level": (word, cuts[0]), "pair_level": (pair, cuts[1])}
+        out = pd.DataFrame({"slab": t["slab"].astype("Int64"), "segment": t["segment"], **{k: [v[i:j].tobytes() for i, j in zip(c[:-1], c[1:], strict=True)] for k, (v, c) in columns.items()}})
+        again = counts[1][counts[1] > LEAST]
+        sums = pd.DataFrame({"slab": pd.array([None], dtype="Int64"), "segment": t["segment"].iloc[:1].to_numpy(), "total": counts[0].sum(), "distinct": (counts[0] > 0).sum(), "again": again.sum()})
+        return pd.concat([out, sums], ignore_index=True).astype({"total": "Int64", "distinct": "Int64", "again": "Int64"}).replace({np.nan: None})
+
+    return rows.groupBy("segment").applyInPandas(run, "slab long, segment int, word_n binary, word_level binary, pair_level binary, total long, distinct long, again long")
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, table_rows: int = 1_000_000, weight: float | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     ``weight`` of the pairs against the words: by default the share of pairs that would still be in the filter with one
-    of their places left out, which is what an unseen text may expect.
+    of their places left out, which is what an unseen text may expect. ``table_rows`` bounded a table of common words;
+    every exact count now comes from its segment, and the results do not depend on it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = base.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)))
-    every = stored(counted(base.where("not held_out").select("text")).where("kind = 1 or n >= 2"), "counts", by="kind")
-    words = every.where("kind = 1").select("key", "n")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    packed = stored(slabs(base), "slabs")
+    # Some segments for each partition, so that partitions fill evenly.
+    segments = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    answers = stored(answered(asked(packed, segments)), "answers")
+    total, distinct, again = answers.where("slab is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "again")]).first()
     if weight is None:
-        again = every.where("kind = 2 and n >= 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         weight = min(0.9, max(0.01, again / max(1, total)))
-    common = words.where(F.col("n") >= max(1.0, total / table_rows)).orderBy("key").toPandas()
     room = float(total + distinct + 1)
-    shared = spark.sparkContext.broadcast((build_filter(every), common["key"].to_numpy(dtype=np.int64), common["n"].to_numpy(dtype=np.int64)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filt, keys, ns = shared.value
-        for whole_batch in batches:
-            for s in range(0, len(whole_batch), 512):
-                b = whole_batch.iloc[s : s + 512]
-                docs_ = [token_hashes(t) for t in b["text"]]
-                size = np.array([len(d) for d in docs_])
-                owner = np.repeat(np.arange(len(docs_)), size)
-                tokens = np.concatenate(docs_)
-                starts = np.cumsum(size) - size
-                uniq, back = np.unique(tokens, return_inverse=True)
-                pairs, pair_back = np.unique(np.concatenate([pair_hashes(d) for d in docs_]), return_inverse=True)
-                word_count = np.where((lv := filt.levels(uniq)) > 1, middle(lv), 0.5)  # below level 2 lie none and one
-                pair_count = np.where((lv := filt.levels(pairs)) > 1, middle(lv), 0.0)
-                before = np.r_[back[-1:], back[:-1]]
-                before[starts] = np.searchsorted(uniq, END)
-                p1 = (word_count[back] + 1) / room
-                p2 = np.minimum(pair_count[pair_back] / (word_count[before] + 1), 1.0)
-                score = np.add.reduceat(np.log10(weight * p2 + (1 - weight) * p1), starts)
-                # Exact counts: from the table, or left for the join.
-                signed = uniq.view(np.int64)
-                at = np.minimum(np.searchsorted(keys, signed), max(0, len(keys) - 1))
-                known = keys[at] == signed if len(keys) else np.zeros(len(uniq), dtype=bool)
-                exact = np.where(known, ns[at] if len(keys) else 0, 0)
-                base_part = np.add.reduceat(np.where(known[back], np.log10((exact[back] + 1) / room), 0.0), starts)
-                n_known = np.add.reduceat(known[back].astype(np.int64), starts)
-                rare = ~known[back]
-                code, tf = np.unique(owner[rare] * len(uniq) + back[rare], return_counts=True)
-                cuts = np.searchsorted(code // len(uniq), np.arange(1, len(docs_)))
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "held_out": b["held_out"].to_numpy(), "n_tokens": size, "n_known": n_known, "base_part": base_part, "score": score, "rare": np.split(signed[code % len(uniq)], cuts), "tf": np.split(tf, cuts)})
-
-    part = base.mapInPandas(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_part double, score double, rare array<long>, tf array<long>")
-    part = stored(part.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = part.select("row", F.explode(F.arrays_zip("rare", "tf")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.tf").alias("tf"))
-    seen = rare.join(words.where(F.col("n") < max(1.0, total / table_rows)), "key", "left")
-    sums = seen.groupBy("row").agg(F.sum(F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(room))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("known"))
-    out = part.drop("rare", "tf").join(sums, "row", "left")
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_part") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    def run(slab: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        of = slab.iloc[0]
+        s = Slab(of["size"], of["text"])
+        answer = answer.sort_values("segment")
+        exact = np.frombuffer(b"".join(answer["word_n"]), dtype=np.int64)
+        level = {k: np.frombuffer(b"".join(answer[f"{k}_level"]), dtype=np.uint8).astype(np.float64) for k in ("word", "pair")}
+        word_count = np.where(level["word"] >= LEAST, middle(level["word"]), 0.5)  # below level 2 lie none and one
+        pair_count = np.where(level["pair"] >= LEAST, middle(level["pair"]), 0.0)
+        before = np.r_[np.searchsorted(s.words, END), s.word_at[:-1]]  # a document's first word follows an end
+        p1 = (word_count[s.word_at] + 1) / room
+        p2 = np.minimum(pair_count[s.pair_at] / (word_count[before] + 1), 1.0)
+        score = np.add.reduceat(np.log10(weight * p2 + (1 - weight) * p1), s.starts)
+        base_score = np.add.reduceat(np.log10((exact + 1) / room)[s.word_at], s.starts)
+        n_known = np.add.reduceat((exact > 0)[s.word_at].astype(np.int64), s.starts)
+        return pd.DataFrame({"id": np.frombuffer(of["ids"], dtype=np.int64), "none": np.frombuffer(of["none"], dtype=bool), "held_out": np.frombuffer(of["held"], dtype=bool), "n_tokens": s.size, "n_known": n_known, "base_score": base_score, "score": score})
+
+    replies = answers.where("slab is not null").select("slab", "segment", "word_n", "word_level", "pair_level")
+    out = packed.groupBy("slab").cogroup(replies.groupBy("slab")).applyInPandas(run, "id long, none boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
