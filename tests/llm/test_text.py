@@ -143,6 +143,17 @@ def test_lm_filter_keeps_every_level_in_small_parts(spark):
     assert (lm_score.build_filter(df, most_bits=1 << 12).levels(key) >= lm_score.level_of(n)).all()
 
 
+def test_lm_score_knows_pairs_seen_once(spark):
+    train, held = ([i for i in range(200) if (crc(i, 7) == 2) == out] for out in (False, True))
+    texts = [f"a{i} b{i} c{i}" for i in range(len(train))]
+    rows = [*zip(train, texts, strict=True), (held[0], " ".join(texts[:20])), (held[1], " ".join(f"b{i} a{i} c{i}" for i in range(20))), (held[2], " ".join(f"x{i}" for i in range(60)))]
+    got = {r["doc_id"]: r for r in lm_score.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    known, turned, unseen = (got[i] for i in held[:3])
+    assert known["n_known"] == turned["n_known"] == 61 and unseen["n_known"] == 1
+    assert round(known["base_score"] - turned["base_score"], 6) == 0
+    assert known["score"] > turned["score"] + 10 and turned["score"] > unseen["score"] + 10
+
+
 def test_lm_empty(nothing):
     assert lm_score.scored(nothing).count() == 0
 

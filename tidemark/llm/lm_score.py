@@ -3,11 +3,11 @@
 Documents are packed into slabs of some megabytes of text. A slab hashes its words and word pairs, makes them distinct
 and sends them, with their training counts, to the segments that the first bits of the hashes name. A segment adds the
 counts up and builds its own part of the filter: a count c becomes the level 1 + floor(log2 c), and an n-gram enters
-once for each level from 2 to its own, so n-grams seen once stay out. The part has as many bits as its entries need. The
+once for each level from 1 to its own, so the first probe tells seen once from unseen. The part has as many bits as its entries need. The
 segment then probes it for every n-gram that it was asked for, level after level until one is missing, and sends a byte
 a piece back to the slab, which takes the middle of the last level as the count; pair and word probabilities are
 interpolated. No part of the filter leaves its task, and there are more segments when there are more shuffle
-partitions, so the least level is the same at every size.
+partitions, so every level is there at every size.
 
 The base score needs exact counts of words; they come back with the levels. A word asks once a slab: no key is hot.
 
@@ -32,7 +32,7 @@ from .common import remainder, small_batches, stored
 
 END = np.uint64(xxhash.xxh64_intdigest(b" end "))  # no word holds a space
 PROBES = 4
-LEAST = 2  # level
+LEAST = 1  # level
 
 
 def token_hashes(text: str | bytes | None) -> np.ndarray:
@@ -253,8 +253,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         answer = answer.sort_values("segment")
         exact = np.frombuffer(b"".join(answer["word_n"]), dtype=np.int64)
         level = {k: np.frombuffer(b"".join(answer[f"{k}_level"]), dtype=np.uint8).astype(np.float64) for k in ("word", "pair")}
-        word_count = np.where(level["word"] >= LEAST, middle(level["word"]), 0.5)  # below level 2 lie none and one
-        pair_count = np.where(level["pair"] >= LEAST, middle(level["pair"]), 0.0)
+        word_count, pair_count = (np.where(level[k] >= LEAST, middle(level[k]), 0.0) for k in ("word", "pair"))
         before = np.r_[np.searchsorted(s.words, END), s.word_at[:-1]]  # a document's first word follows an end
         p1 = (word_count[s.word_at] + 1) / room
         p2 = np.minimum(pair_count[s.pair_at] / (word_count[before] + 1), 1.0)
