@@ -4,15 +4,19 @@ import datetime as dt
 import json
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregate
 from tidemark.operators import windows as W
+from tidemark.plans import catalog
 from tidemark.sources import archive, log
 from tidemark.spec import SeriesSpec
 from tidemark.streaming import accuracy, features, monitor, stateful
 
+from .test_catalog import canonical
+
 SCHEMA = "k string, t timestamp, i long, v double"
 SPEC = SeriesSpec(("k",), "t", ("i",), ("v",))
 T0 = dt.datetime(2024, 1, 1)
@@ -159,3 +163,28 @@ def test_archive_and_features_from_one_source_with_restart(spark, tmp_path):
     (src / "2.json").write_text(record(3) + "\n")
     got = once()
     assert got.count() == 3 and got.select("station").distinct().first()[0] == "North___Pole"
+
+
+@pytest.fixture(scope="module")
+def unordered(spark, data, tmp_path_factory):
+    """Events in twelve files that each span the whole time, and replayed in twelve: three batches."""
+    d = str(tmp_path_factory.mktemp("unordered"))
+    spark.read.parquet(f"{data}/events.parquet").repartition(12, "event_id").write.option("maxRecordsPerFile", 0).parquet(f"{d}/events.parquet")
+    conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield d
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["stream_window_stats", "stream_changes", "stream_dedup", "stream_online_accuracy"])
+def test_streams_over_unordered_files_equal_the_table(spark, unordered, name):
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from read_parquet('{unordered}/events.parquet/*.parquet')")
+    want = c.execute(catalog.oracle_sql()[name])
+    names = sorted(x[0] for x in want.description)
+    at = [[x[0] for x in want.description].index(n) for n in names]
+    got = sorted(canonical([r[n] for n in names]) for r in catalog.queries()[name](spark, unordered).collect())
+    assert got == sorted(canonical([r[i] for i in at]) for r in want.fetchall())

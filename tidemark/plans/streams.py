@@ -1,7 +1,9 @@
-"""Queries that run as streams over the files of ``events`` until all are read, checked against batch SQL."""
+"""Queries that run as streams over ``events``, replayed in order of event time, checked against batch SQL."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,10 +15,28 @@ from .base import BY_STATION, R, as_readings, query, rounded, table
 from .rows import WIN
 
 
+def _replay(spark: SparkSession, sf_dir: str) -> str:
+    """The table as files in order of event time, however its own files lie: no row is late, for the watermark or the
+    state of a key. The source takes the oldest files first, so the files' times are set to follow their ranges."""
+    path = new_path(spark, "replay")
+    table(spark, sf_dir, "events").repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: (len(p.getName()), p.getName()))
+    first = int(time.time() - len(parts)) * 1000
+    for i, part in enumerate(parts):
+        fs.setTimes(part, first + 1000 * i, -1)
+    if any(fs.getFileStatus(part).getModificationTime() != first + 1000 * i for i, part in enumerate(parts)):
+        raise RuntimeError(f"replay: the store of {path} does not keep the times of its files")
+    return path
+
+
+def _stream(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same files as a stream; the pattern matches the one table, which may be a file or a folder."""
-    batch = table(spark, sf_dir, "events")
-    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/events.parque[t]")
+    return _stream(spark, sf_dir, _replay(spark, sf_dir))
 
 
 def _finished(q: StreamingQuery) -> None:
@@ -49,9 +69,11 @@ def stream_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(R + f"""SELECT user_id, ts, temperature, round(coalesce((temperature - lag(temperature) OVER w) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 0), 0), 6) + 0e0 AS rate, round(temperature - lag(temperature) OVER w, 6) + 0e0 AS change FROM r WINDOW w AS {WIN}""")
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed state in place of row windows."""
-    out = _appended(spark, stateful.changes(as_readings(_events(spark, sf_dir)), "user_id", "ts", "temperature"))
-    return rounded(out.where("not late_for_state").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "temperature", "rate", "change"), ["rate", "change"])
+    """Keyed state in place of row windows. State of a key stays as long as the table spans."""
+    first, last = table(spark, sf_dir, "events").agg(*[F.unix_millis(f("ts").cast("timestamp")) for f in (F.min, F.max)]).first()
+    idle_ms = 86_400_000 + (0 if first is None else last - first)
+    out = _appended(spark, stateful.changes(as_readings(_events(spark, sf_dir)), "user_id", "ts", "temperature", idle_ms=idle_ms))
+    return rounded(out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "temperature", "rate", "change"), ["rate", "change"])
 
 
 @query("""SELECT user_id, count(*) AS readings FROM events GROUP BY 1""")
@@ -67,8 +89,9 @@ j AS (SELECT p.user_id, time_bucket(INTERVAL 1 DAY, ts) AS window_start, predict
 SELECT user_id, window_start, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, count(*) AS n FROM j GROUP BY 1, 2""")
 def stream_online_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream-stream join of forecasts and actual values, then their errors by day."""
-    p = _events(spark, sf_dir).where("event_type = 'view'").select("user_id", F.col("ts").alias("target_ts"), F.col("value").alias("predicted"))
-    a = _events(spark, sf_dir).where("event_type = 'click'").select("user_id", "ts", F.col("value").alias("actual"))
+    path = _replay(spark, sf_dir)
+    p = _stream(spark, sf_dir, path).where("event_type = 'view'").select("user_id", F.col("ts").alias("target_ts"), F.col("value").alias("predicted"))
+    a = _stream(spark, sf_dir, path).where("event_type = 'click'").select("user_id", "ts", F.col("value").alias("actual"))
     pairs = _appended(spark, accuracy.matched(p, a, "user_id"))
     m = accuracy.running_metrics(pairs, "user_id", "1 day")
     return rounded(m.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
