@@ -39,6 +39,20 @@ def test_license_rules(spark):
     assert len(license_scan.rules()) >= 300
 
 
+def test_license_names_wrapped_over_lines(spark):
+    cases = {
+        1: ("# Licensed under the GNU Lesser General\n# Public License, version 3", "gpl,lgpl", 0.95),
+        2: ("subject to the terms of the Mozilla\r\n# Public License", "mpl", 0.9),
+        3: (" * under the Eclipse   Public *\n * License *", "epl", 0.5),
+        4: ("// GNU Affero\n//General Public\t License", "agpl,gpl", 0.5),
+        5: ("-- licensed under\n-- Creative\n-- Commons Attribution 4.0", "cc", 0.95),
+        6: ("SPDX-License-Identifier:\tMIT", "mit", 1.0),
+        7: ("mozilla! public license. public; domain. mozilla" + " #" * 50_000 + " private", "", 0.0),
+    }
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in cases.items()], "doc_id long, text string")).collect()}
+    assert got == {i: (a, b) for i, (_, a, b) in cases.items()}
+
+
 def test_license_containment(spark):
     rows = [(1, 3, "a", 0.5, 0, 10), (1, 1, "b", 0.9, 0, 20), (1, 0, "c", 1.0, 5, 8), (1, 3, "d", 0.5, 15, 25), (2, 3, "a", 0.5, 0, 10)]
     kept = license_scan.surviving(spark.createDataFrame(rows, "row long, priority int, label string, sure double, begin int, end int"))

@@ -2,7 +2,8 @@
 
 ``rules()`` expands licence names into some hundreds of regular expressions: for each family of names one rule for
 every way of citing it. Order is priority. A document first meets one cheap keyword test; only a family whose keyword
-stands in the document has its rules run, over the whole text. Matches are intervals of the text. One that lies
+stands in the document has its rules run, over the whole text, in which white space and the comment signs within it are
+folded to one space: names may be wrapped over lines. Matches are intervals of that text. One that lies
 inside an interval of the same or a higher priority is suppressed; what stays gives the labels and the score.
 
 The base phrases are counted apart, over words, and their labels always stay.
@@ -93,7 +94,12 @@ def rules() -> list[tuple[int, str, str, str, float]]:
 
 #: A document without any of these runs no rule.
 KEYWORDS = sorted({key for key, _, _ in FAMILIES})
-GATE = "|".join(KEYWORDS)
+
+#: White space between words, of a line or across lines, with the comment signs in it; possessive, so long runs are safe.
+SPACE = r"[\s\u0085\u00A0\u2000-\u200B\u2028\u2029\u202F\u205F\u3000]"
+SIGN = rf"(?:[#*;%!>|]+/?|/[/*]+!?|--+>?|<!--+|(?:dnl|rem)(?={SPACE}))"
+GAP = f"(?:{SPACE}++{SIGN}?+)++"
+GATE = "|".join(k.replace(" ", GAP) for k in KEYWORDS)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -155,7 +161,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
     rows = rows.withColumn("n_words", F.regexp_count("low", F.lit(WORD)).cast("long"))
     rows = rows.withColumn("words", F.when(F.contains("low", F.lit("license")), F.concat(F.lit(" "), F.btrim(F.regexp_replace("low", NOT_WORD, " ")), F.lit(" "))))
-    rows = base_phrases(rows).withColumn("low", F.when(F.col("low").rlike(GATE), F.col("low"))).drop("words")
+    rows = base_phrases(rows).withColumn("low", F.when(F.col("low").rlike(GATE), F.regexp_replace("low", GAP, " "))).drop("words")
     rows = stored(rows, "scanned")  # only the texts that run rules are kept
     kept = surviving(intervals(rows.where("low is not null").select("row", "low")))
     found = kept.groupBy("row").agg(F.collect_set("label").alias("method"), F.max("sure").alias("sure"))
