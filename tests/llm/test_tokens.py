@@ -91,3 +91,21 @@ def test_packing_odd_rows(odd, nothing):
     assert {(r["doc_id"], r["length"]) for r in rows if r["doc_id"] in (3, 4, 5)} == {(3, 1), (4, 1), (5, 1)}
     assert len([r for r in rows if r["doc_id"] is None]) == 2 and well_packed(rows, 4096) > 0
     assert packing.packed(nothing).count() == 0
+
+
+@pytest.mark.parametrize("rows,length,capacity", [(150_000, 1, 4096), (20_000, 1, 256), (30_000, 200, 256), (9_000, 86, 256), (20_000, 128, 256)])
+def test_exchange_rounds_end_for_equal_lengths(spark, rows, length, capacity):
+    """Repeated rows all through: nothing but a row number could tell them apart."""
+    cut = spark.range(rows, numPartitions=4).selectExpr("cast(7 as long) doc_id", "0 piece", "0L start", f"{length}L length", "5L ids_crc32")
+    got = packing.pack(cut, capacity)
+    assert got.count() == rows
+    used = got.groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).collect()
+    assert len(used) <= packing.lower_bound(np.array([length]), np.array([rows]), capacity) + 1
+    assert all(r["sum(length)"] <= capacity and r["max(offset)"] == r["sum(length)"] - length for r in used)
+
+
+def test_all_empty_texts_are_packed(spark):
+    docs = spark.range(150_000, numPartitions=4).selectExpr("id doc_id", "'' text")
+    got = packing.packed(docs).groupBy("sequence_id").agg({"offset": "max", "length": "sum"}).collect()
+    assert sum(r["sum(length)"] for r in got) == 150_000 and len(got) <= -(-150_000 // 4096) + 1
+    assert all(r["max(offset)"] == r["sum(length)"] - 1 for r in got)

@@ -1,12 +1,16 @@
 """Best-fit packing with certified bin counts.
 
 Texts become ids by a public tokenizer, end with one more id, and only those longer than a sequence are cut. Full
-pieces are sequences of their own. The other pieces, one a document, are dealt into partitions, and each is packed by
-best-fit decreasing. Dual-feasible functions give a lower bound on a partition's bins. A partition that meets its
-bound keeps all but its emptiest bin; one with a gap also gives up its emptiest bins, in proportion to the gap. What
-was given up is exchanged: it is dealt into fewer partitions and packed again, until one partition is left.
-
-Defined results: a null or empty text is the end id alone. Repeated rows and null ids are packed like any others.
+pieces are sequences of their own. The other pieces, one a document, are dealt into partitions by a row number, so
+repeated rows part ways. A partition holds some thousands of pieces and never less than ``part_bins`` sequences of
+tokens, and is packed by best-fit decreasing. Dual-feasible functions give a lower bound on its bins. A partition
+that meets its bound keeps all but its emptiest bin; one with a gap also gives up its emptiest bins, in proportion to
+the gap, but half its bins at most. What was given up is exchanged: it is dealt into fewer partitions and packed
+again, until one is left. Each turn settles at least half of the tokens of a partition of several bins, and a turn
+has fewer partitions than the one before, so the turns end whatever the lengths are.
+
+Defined results: a null or empty text is the end id alone. Repeated rows and null ids are packed like any others. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,15 +36,19 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordTokenizer:
     """A tokenizer file of the kind "lower case, split, byte-level BPE with word ends".
 
-    Pre-tokens of Latin text are looked up in a table of at most ``remembered`` entries and encoded by the file's own
-    BPE model when new; any other text goes through the whole tokenizer.
+    No pre-token of such a file spans white space. Latin text is cut at white space, and each piece is looked up in a
+    table of at most ``remembered`` entries (or the pieces of one text); a new piece is split into pre-tokens, which
+    the file's own BPE model encodes, and which have a table of that size too. Any other text goes through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str, remembered: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.model, self.remembered, self.table = Tokenizer.from_file(path), None, remembered, {}
+        self.tokenizer, self.model, self.remembered = Tokenizer.from_file(path), None, remembered
+        self.between_spaces: dict[str, bytes] = {}
+        self.pre_tokens: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x.get("type") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
@@ -54,21 +62,33 @@ class WordTokenizer:
         hidden = [b for b in range(256) if b not in shown]
         self.bytes_shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
+    def _learn(self, between: list[str]) -> None:
+        table, known, tokenize = self.between_spaces, self.pre_tokens, self.model.tokenize
+        for full in (table, known):
+            if len(full) > self.remembered:
+                full.clear()
+        for x in between:
+            if x in table:
+                continue
+            ids = []
+            for word in self.split(x):
+                own = known.get(word)
+                if own is None:
+                    shown = word.encode().decode("latin-1").translate(self.bytes_shown)
+                    own = known[word] = np.array([t.id for t in tokenize(shown)], dtype="<u4").tobytes()
+                ids.append(own)
+            table[x] = b"".join(ids)
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.model is None or "<|" in text or not self.plain(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = self.split(text.lower())
-        table = self.table
+        between = text.lower().split()
         try:
-            return b"".join(map(table.__getitem__, words))
+            return b"".join(map(self.between_spaces.__getitem__, between))
         except KeyError:
-            if len(table) > self.remembered:
-                table.clear()
-            for w in set(words).difference(table):
-                shown = w.encode().decode("latin-1").translate(self.bytes_shown)
-                table[w] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-            return b"".join(map(table.__getitem__, words))
+            self._learn(between)
+            return b"".join(map(self.between_spaces.__getitem__, between))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -136,15 +156,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack_round(items: DataFrame, capacity: int, last: bool, turn: int) -> DataFrame:
-    """items with part; adds bin, offset and given_up."""
+    """items with part; adds sequence_id, offset and given_up."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        t = t.sort_values(["length", "row"], ascending=[False, True], kind="stable", ignore_index=True)
         lengths = t["length"].to_numpy()
         bins, room = best_fit_decreasing(lengths, capacity)
         sizes, counts = np.unique(lengths, return_counts=True)
         gap = len(room) - lower_bound(sizes, counts, capacity)
-        emptiest = np.argsort(-np.array(room), kind="stable")[: 4 * gap + 1]
+        emptiest = np.argsort(-np.array(room), kind="stable")[: max(1, min(4 * gap + 1, len(room) // 2))]
         given = np.zeros(len(room), dtype=bool)
         given[[b for b in emptiest if room[b] > 0]] = not last
         order = np.argsort(bins, kind="stable")
@@ -155,27 +175,33 @@ def _pack_round(items: DataFrame, capacity: int, last: bool, turn: int) -> DataF
         part = int(t["part"].iloc[0])
         return t.assign(sequence_id=(turn << 56) | (part << 24) | bins, offset=offset, given_up=given[bins])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, given_up boolean"
+    schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, part long, sequence_id long, offset long, given_up boolean"
     return items.groupBy("part").applyInPandas(run, schema)
 
 
-def pack(cut: DataFrame, capacity: int = 4096, part_rows: int = 4096, fan_in: int = 8) -> DataFrame:
-    """cut: the columns of ``pieces``. Adds sequence_id and offset."""
-    cut = stored(cut, "pieces")
-    full = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+def pack(cut: DataFrame, capacity: int = 4096, part_rows: int = 4096, part_bins: int = 64) -> DataFrame:
+    """cut: the columns of ``pieces``. Adds sequence_id and offset.
+
+    A partition has about ``part_rows`` pieces, or ``part_bins * capacity`` tokens where that many pieces are shorter;
+    a piece has a token at least, so no partition is much larger than ``part_bins * capacity`` pieces.
+    """
+    cut = stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    full = cut.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long"))
     waiting = cut.where(F.col("length") < capacity)
-    rows = waiting.count()
-    parts, turn, done = max(1, -(-rows // part_rows)), 0, full
-    while rows:
+    parts, turn, done = None, 0, full
+    while True:
+        rows, tokens = waiting.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        if not rows:
+            break
+        needed = max(1, -(-min(rows * part_bins * capacity, tokens * part_rows) // (part_rows * part_bins * capacity)))
+        parts = needed if parts is None else min(needed, parts - 1)
         last = parts == 1
-        dealt = waiting.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)))
+        dealt = waiting.withColumn("part", F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)))
         packed_ = stored(_pack_round(dealt, capacity, last, turn), "packed")
         done = done.unionByName(packed_.where("not given_up").drop("part", "given_up"))
         if last:
             break
-        waiting = packed_.where("given_up").select(*cut.columns)
-        rows = waiting.count()
-        parts, turn = max(1, -(-parts // fan_in), -(-rows // part_rows)) if turn < 8 else 1 if rows <= part_rows else parts, turn + 1
+        waiting, turn = packed_.where("given_up").select(*cut.columns), turn + 1
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
