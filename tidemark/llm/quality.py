@@ -6,7 +6,8 @@ five flat arrays (feature, threshold, left, right, value), and all rows of a bat
 
 Defined results: a null text counts as empty and is scored like any text. Labels that are null, or that contradict each
 other for an id, teach nothing. Without labels, or with one class only, every score is the class's smoothed share
-(0.5 without labels). Repeated rows and null ids get a score each; a null id is in no fold and so not held out.
+(0.5 without labels). Repeated rows and null ids get a score each; a null id is in no fold and so not held out. The
+forest depends on the rows alone, not on how they are dealt or ordered. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -141,10 +142,12 @@ def trained(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "x": [statistics(t) for t in b["text"]]})
+            yield b.drop(columns="text").assign(x=[statistics(t) for t in b["text"]])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    got = base.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInPandas(run, "label int, x array<double>").toPandas()
+    rows = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("text_hash"), "text")
+    got = rows.mapInPandas(run, "doc_id long, label int, text_hash long, x array<double>").toPandas()
+    got = got.sort_values(["doc_id", "text_hash"], kind="stable", ignore_index=True)  # sums follow one order
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, WIDTH))
     return train(x, got["label"].to_numpy(dtype=np.float64))
 
