@@ -2,15 +2,17 @@
 
 A word's embedding is the sum of two hashed rows, one of the word and one of its first letters. Filters of several
 widths slide over the whole text, the largest value of each is pooled, and a logistic layer reads the pool. The
-network learns by Adam from about ``sample`` labelled documents of the training folds; the first dimension of the
-embeddings starts at the log-odds of their words. Thresholds are calibrated for each language on a part of the sample
-that the weights have not seen: a score of 0.5 stands at the threshold. The language is guessed from the text's own
-function words, never read from a column.
+network learns by Adam from about ``sample`` labelled documents of the training folds, long ones whole; the first
+dimension of the embeddings starts at the log-odds of their words. Thresholds are calibrated for each language on a
+part of the sample that the weights have not seen: a score of 0.5 stands at the threshold. A language with few toxic
+labels there has its own threshold drawn towards the common one. The language is guessed from the text's own function
+words, never read from a column. Sample, parts and order of learning follow from ids and texts alone, so the same rows
+make the same network however they are dealt or ordered; scores are rounded to six places.
 
 Defined results: a null text counts as empty and is scored like any text. Labels that are null or contradict each other
 for an id teach nothing. Without labels of both classes every score is the smoothed share of the class (0 without
-labels). Repeated rows and null ids get a score each; a null id is in no fold and so not held out. Only documents of
-at most ``longest`` words are used to learn; every document is scored whole.
+labels). Repeated rows and null ids get a score each; a null id is in no fold and so not held out. Every document is
+scored whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, stored
 from .quality import bounded_sample, known_labels
 
 BITS, PREFIX, WIDTHS, FILTERS, DIMS = 18, 5, (1, 2, 3), 12, 8
@@ -71,15 +73,23 @@ def language(ids: np.ndarray) -> int:
     return int(seen.argmax()) + 1 if seen.any() else 0
 
 
-def joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All documents in a row with padding between, and where each begins."""
+def joined(docs: list[np.ndarray], more: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All documents in a row with padding behind each; where each begins; and its length with the padding. Where
+    ``more`` says that a document goes on in the next window, there is no padding."""
     gap = np.full((2, max(WIDTHS)), PAD, dtype=np.int32)
-    parts, starts, at = [], [], 0
-    for d in docs:
-        starts.append(at)
-        parts += [d, gap]
-        at += d.shape[1] + gap.shape[1]
-    return np.concatenate(parts, axis=1), np.array(starts)
+    parts, room = [], []
+    for i, d in enumerate(docs):
+        own = [d] if more is not None and more[i] else [d, gap]
+        parts += own
+        room.append(sum(x.shape[1] for x in own))
+    room = np.array(room)
+    return np.concatenate(parts, axis=1), np.cumsum(room) - room, room
+
+
+def _maxima(z: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The largest value of each column between each start and end (exclusive)."""
+    both = np.stack([starts, ends], axis=1).ravel()
+    return np.maximum.reduceat(z, both[:-1] if both[-1] == len(z) else both, axis=0)[::2]
 
 
 @dataclass
@@ -90,31 +100,32 @@ class Network:
     biases: np.ndarray = field(default_factory=lambda: np.zeros(len(WIDTHS) * FILTERS, dtype=np.float32))
     out: np.ndarray = field(default_factory=lambda: np.zeros(len(WIDTHS) * FILTERS, dtype=np.float32))
     shift: float = -30.0
-    cuts: dict[int, float] = field(default_factory=dict)
+    cuts: dict[int, float] = field(default_factory=dict)  # by index in LANGUAGES; -1 is common to all
 
-    def pooled(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(documents, filters) maxima before the rectifier, where they stand, and the embeddings."""
+    def pooled(self, ids: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(documents, filters) maxima before the rectifier, all values of each width, and the embeddings. No filter
+        reaches from one document into the next."""
         e = self.words[ids[0]] + self.prefixes[ids[1]]
-        best, where = [], []
+        best, maps = [], []
         for k in self.kernels:
             n = len(e) - len(k) + 1
             z = e[:n] @ k[0]
             for j in range(1, len(k)):
                 z += e[j : j + n] @ k[j]
-            top = np.maximum.reduceat(z, starts, axis=0)
-            best.append(top)
-            where.append(z)
-        return np.concatenate(best, axis=1), where, e
+            best.append(_maxima(z, starts, starts + room - len(k) + 1))
+            maps.append(z)
+        return np.concatenate(best, axis=1), maps, e
 
-    def raw(self, docs: list[np.ndarray], limit: int = 200_000) -> np.ndarray:
+    def raw(self, docs: list[np.ndarray], limit: int = 200_000, window: int = 50_000) -> np.ndarray:
         """Logits; long texts are pooled window by window, overlapping by the widest filter."""
         if not self.kernels:
             return np.full(len(docs), self.shift)
-        pieces, owner = [], []
+        pieces, owner, more = [], [], []
         for i, d in enumerate(docs):
-            for at in range(0, max(1, d.shape[1]), 50_000):
-                pieces.append(d[:, at : at + 50_000 + max(WIDTHS)])
+            for at in range(0, max(1, d.shape[1]), window):
+                pieces.append(d[:, at : at + window + max(WIDTHS)])
                 owner.append(i)
+                more.append(at + window + max(WIDTHS) < d.shape[1])
         pool = np.full((len(docs), len(self.biases)), -np.inf, dtype=np.float32)
         at = 0
         while at < len(pieces):
@@ -122,7 +133,7 @@ class Network:
             while end < len(pieces) and (end == at or size + pieces[end].shape[1] <= limit):
                 size += pieces[end].shape[1]
                 end += 1
-            np.maximum.at(pool, owner[at:end], self.pooled(*joined(pieces[at:end]))[0])
+            np.maximum.at(pool, owner[at:end], self.pooled(*joined(pieces[at:end], more[at:end]))[0])
             at = end
         return np.maximum(pool + self.biases, 0) @ self.out + self.shift
 
@@ -142,14 +153,15 @@ def _log_odds(docs: list[np.ndarray], y: np.ndarray, row: int) -> tuple[np.ndarr
     return np.log(rate[1] / rate[0]) * (total >= 2) * total / (total + 6), total
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Network:
+def train(docs: list[np.ndarray], y: np.ndarray, draw: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 5, drawn: float = 10.0) -> Network:
+    """draw: a whole number for each document; a fifth of them stand aside for the thresholds. A language's threshold
+    weighs its toxic documents there against ``drawn`` for the common one."""
     net, rng = Network(), np.random.default_rng(seed)
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.0
     if not len(y) or y.sum() in (0, len(y)):
         net.shift = float(np.log(share / (1 - share))) if len(y) else -30.0
         return net
-    fit = rng.random(len(y)) < 0.8
-    fit |= y.sum() < 20
+    fit = (draw % 5 != 0) | (y.sum() < 20)
     for table, row in ((net.words, 0), (net.prefixes, 1)):
         odds, seen = _log_odds([d for d, f in zip(docs, fit, strict=True) if f], y[fit], row)
         table[:] = rng.normal(0, 0.05, table.shape) * (seen >= 2)[:, None]
@@ -170,19 +182,18 @@ def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 3
         order = rng.permutation(pool_of)
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
-            ids, starts = joined([docs[i] for i in pick])
-            best, maps, e = net.pooled(ids, starts)
+            ids, starts, room = joined([docs[i] for i in pick])
+            best, maps, e = net.pooled(ids, starts, room)
             active = best + net.biases
             hidden = np.maximum(active, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.shift, -30, 30)))
             dz = ((p - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
             dh = dz[:, None] * net.out[None, :] * (active > 0)
             grads = [dh.sum(axis=0), hidden.T @ dz + 1e-4 * net.out]
-            ends = np.r_[starts[1:], ids.shape[1]]
             de_at, de = [], []
             for w, k in enumerate(net.kernels):
                 z, own = maps[w], slice(w * FILTERS, (w + 1) * FILTERS)
-                where = np.stack([s + z[s : min(t, len(z))].argmax(axis=0) for s, t in zip(starts, ends, strict=True)])
+                where = np.stack([s + z[s : s + n - len(k) + 1].argmax(axis=0) for s, n in zip(starts, room, strict=True)])
                 g, dk = dh[:, own], np.zeros_like(k)
                 for j in range(len(k)):
                     dk[j] = np.einsum("nfd,nf->df", e[where + j], g)
@@ -209,8 +220,10 @@ def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 3
     net.cuts[-1] = _cut(p, y[hold])
     for k in range(len(LANGUAGES)):
         own = said == k
-        if y[hold][own].sum() >= 20:
-            net.cuts[k] = _cut(p[own], y[hold][own])
+        known = y[hold][own].sum()
+        if known:
+            near = [np.log(c / (1 - c)) for c in (_cut(p[own], y[hold][own]), net.cuts[-1])]
+            net.cuts[k] = float(1 / (1 + np.exp(-(known * near[0] + drawn * near[1]) / (known + drawn))))
     return net
 
 
@@ -225,26 +238,35 @@ def _cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order][best] + following) / 2, 0.02, 0.98))
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = 6000, longest: int = 4000) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_out: int, sample: int, sample_words: int) -> pd.DataFrame:
+    """docs: doc_id, text. label, draw, ids of about ``sample`` labelled documents and ``sample_words`` words, fewer
+    documents where they are longer; in order of id and text."""
     known = known_labels(labels, "doc_id", label_col).where(remainder("doc_id", folds) != held_out)
     chosen = bounded_sample(known.where("label = 1"), sample // 3).unionByName(bounded_sample(known.where("label = 0"), sample - sample // 3))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = [word_ids(t) for t in b["text"]]
-            keep = [i.shape[1] <= longest for i in ids]
-            yield pd.DataFrame({"label": b["label"][keep], "ids": [i.ravel() for i, k in zip(ids, keep, strict=True) if k]})
+            yield b.drop(columns="text").assign(ids=[word_ids(t).ravel() for t in b["text"]])
 
-    got = base.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInPandas(hashed, "label int, ids array<int>").toPandas()
-    net = train([np.asarray(i, dtype=np.int32).reshape(2, -1) for i in got["ids"]], got["label"].to_numpy(dtype=np.float64))
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.xxhash64("doc_id", F.lit("aside")).alias("draw"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = stored(rows.mapInPandas(hashed, "doc_id long, label int, draw long, text_hash long, ids array<int>"), "learning_rows")
+    words = rows.agg(F.sum(F.size("ids") / 2)).first()[0] or 0
+    if words > sample_words:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("words")), F.lit(1 << 30)) < int(sample_words / words * (1 << 30)))
+    return rows.toPandas().sort_values(["doc_id", "text_hash"], kind="stable", ignore_index=True)
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = 6000, sample_words: int = 4_000_000) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    got = learning_rows(base, labels, label_col, folds, held_out, sample, sample_words)
+    net = train([np.asarray(i, dtype=np.int32).reshape(2, -1) for i in got["ids"]], got["label"].to_numpy(dtype=np.float64), got["draw"].to_numpy(dtype=np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = [shared.value.score([word_ids(t) for t in b["text"].iloc[i : i + 256]]) for i in range(0, len(b), 256)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.concatenate(s) if s else np.zeros(0)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.concatenate(s).round(6) if s else np.zeros(0)})
 
     out = base.mapInPandas(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
