@@ -1,10 +1,11 @@
 """Licence scan by ordered signature rules, in DataFrame functions only.
 
-``rules()`` expands licence names into some hundreds of regular expressions: for each family of names one rule for
-every way of citing it. Order is priority. A document first meets one cheap keyword test; only a family whose keyword
-stands in the document has its rules run, over the whole text, in which white space and the comment signs within it are
-folded to one space: names may be wrapped over lines. Matches are intervals of that text. One that lies
-inside an interval of the same or a higher priority is suppressed; what stays gives the labels and the score.
+A rule is a licence's name in one way of citing it, or a sentence or address that only its text holds; the order of
+the ways is their priority. A document first meets a prefilter of plain words without blanks: every match of every
+rule holds one of them. Where one stands, white space and the comment signs within it are folded to one blank, for
+names may be wrapped over lines, and each rule whose own keywords all stand there runs over the whole text. Matches
+are intervals of that text. One that lies inside an interval of the same or a higher priority is suppressed; what
+stays gives the labels and the score.
 
 The base phrases are counted apart, over words, and their labels always stay.
 
@@ -15,95 +16,205 @@ one by one, repeated rows and null ids too. Python's only part is to write the e
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Fixed values of the contract: phrase and label.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Family keyword, label, and the ways its name is written (regular expressions over lower-case text).
-FAMILIES = [
-    ("mit lic", "mit", [r"mit license", r"mit licence"]),
-    ("mit-style", "mit", [r"mit-style license"]),
-    ("mit/x11", "mit", [r"mit/x11(?: license)?"]),
-    ("massachusetts", "mit", [r"massachusetts institute of technology license"]),
-    ("identifier: mit", "mit", [r"mit"]),
-    ("expat", "mit", [r"expat license"]),
-    ("apache", "apache", [r"apache license", r"apache software license", r"apache-2\.0", r"apache license,? version 2\.0", r"apache public license"]),
-    ("general public", "gpl", [r"gnu general public license", r"general public license", r"gnu general public licence"]),
-    ("gpl", "gpl", [r"gpl", r"gplv[123]", r"gpl-[123]\.0(?:-only|-or-later|\+)?", r"gnu gpl"]),
-    ("lesser general", "lgpl", [r"gnu lesser general public license", r"lesser general public license"]),
-    ("library general", "lgpl", [r"gnu library general public license"]),
-    ("lgpl", "lgpl", [r"lgpl", r"lgplv[23](?:\.1)?", r"lgpl-[23]\.[01](?:-only|-or-later|\+)?"]),
-    ("affero", "agpl", [r"gnu affero general public license", r"affero general public license"]),
-    ("agpl", "agpl", [r"agpl", r"agplv3", r"agpl-3\.0(?:-only|-or-later)?"]),
-    ("bsd", "bsd", [r"bsd license", r"(?:two|2|three|3|four|4)-clause bsd license", r"bsd-[0234]-clause", r"new bsd license", r"simplified bsd license"]),
-    ("mozilla", "mpl", [r"mozilla public license"]),
-    ("mpl-", "mpl", [r"mpl-[12]\.[01]"]),
-    ("mpl 2", "mpl", [r"mpl 2\.0"]),
-    ("eclipse", "epl", [r"eclipse public license", r"eclipse distribution license"]),
-    ("epl-", "epl", [r"epl-[12]\.0"]),
-    ("creative commons", "cc", [r"creative commons attribution(?:[- ](?:noncommercial|sharealike|noderivatives|noncommercial-sharealike))*", r"creative commons zero", r"creative commons license"]),
-    ("cc by", "cc", [r"cc by(?:-(?:nc|sa|nd|nc-sa|nc-nd))? [1-4]\.0", r"cc by(?:-(?:nc|sa|nd|nc-sa|nc-nd))?"]),
-    ("cc-by", "cc", [r"cc-by(?:-(?:nc|sa|nd|nc-sa|nc-nd))?-[1-4]\.0"]),
-    ("cc0", "cc0", [r"cc0(?: 1\.0)?(?: universal)?", r"cc0-1\.0"]),
-    ("isc lic", "isc", [r"isc license"]),
-    ("zlib", "zlib", [r"zlib license", r"zlib/libpng license"]),
-    ("boost soft", "boost", [r"boost software license"]),
-    ("unlicense", "unlicense", [r"the unlicense", r"unlicense"]),
-    ("artistic lic", "artistic", [r"artistic license"]),
-    ("python software", "psf", [r"python software foundation license"]),
-    ("common development", "cddl", [r"common development and distribution license"]),
-    ("cddl", "cddl", [r"cddl(?:-1\.[01])?"]),
-    ("do what the", "wtfpl", [r"do what the \w+ you want to public license"]),
-    ("european union", "eupl", [r"european union public licence", r"european union public license"]),
-    ("microsoft public", "ms-pl", [r"microsoft public license"]),
-    ("open font", "ofl", [r"sil open font license", r"open font license"]),
-    ("open database", "odbl", [r"open database license"]),
-    ("free documentation", "gfdl", [r"gnu free documentation license", r"free documentation license"]),
-    ("public domain", "public-domain", [r"public domain"]),
-    ("academic free", "afl", [r"academic free license"]),
-    ("openssl", "openssl", [r"openssl license"]),
-    ("php license", "php", [r"php license"]),
-    ("ruby license", "ruby", [r"ruby license"]),
-    ("rights reserved", "proprietary", [r"all rights reserved"]),
-    ("proprietary", "proprietary", [r"proprietary license", r"proprietary and confidential"]),
+#: Label, keyword that every match holds, and the name over folded lower-case text.
+FULL_NAMES = [
+    ("mit", "mit", r"mit(?:[- ]style)?[- ]licen[sc]e"),
+    ("mit", "x11", r"(?:mit/x11|x11)(?: licen[sc]e)?"),
+    ("mit", "expat", r"expat licen[sc]e"),
+    ("mit", "massachusetts institute", r"massachusetts institute of technology licen[sc]e"),
+    ("apache", "apache", r"apache(?: software| public)? licen[sc]e"),
+    ("apache", "apache", r"apache[- ]?v?(?:ersion )?[12](?:\.[01])?(?: software)? licen[sc]e"),
+    ("apache", "apache-", r"apache-(?:1\.[01]|2\.0)"),
+    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e"),
+    ("gpl", "gpl", r"(?:gnu )?gpl(?:[- ]?v?[123](?:\.0)?)?(?:-only|-or-later|\+)?(?: licen[sc]e)?"),
+    ("lgpl", "lesser general", r"(?:gnu )?lesser general public licen[sc]e"),
+    ("lgpl", "library general", r"(?:gnu )?library general public licen[sc]e"),
+    ("lgpl", "lesser gpl", r"(?:gnu )?lesser gpl(?: licen[sc]e)?"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?:[- ]?v?[23](?:\.[01])?)?(?:-only|-or-later|\+)?(?: licen[sc]e)?"),
+    ("agpl", "affero", r"(?:gnu )?affero (?:general public licen[sc]e|gpl)"),
+    ("agpl", "agpl", r"(?:gnu )?agpl(?:[- ]?v?3(?:\.0)?)?(?:-only|-or-later|\+)?(?: licen[sc]e)?"),
+    ("bsd", "bsd", r"(?:(?:new|modified|revised|simplified|original|free) )?bsd(?:[- ]style)?[- ]licen[sc]e"),
+    ("bsd", "bsd", r"bsd[- ](?:zero|two|three|four|[0234])[- ]clause(?:[- ]licen[sc]e)?"),
+    ("bsd", "bsd", r"(?:zero|two|three|four|[0234])[- ]clause bsd(?:[- ]licen[sc]e)?"),
+    ("mpl", "mozilla public", r"mozilla public licen[sc]e"),
+    ("mpl", "mpl-", r"mpl-[12]\.[01]"),
+    ("epl", "eclipse", r"eclipse (?:public|distribution) licen[sc]e"),
+    ("epl", "epl-", r"epl-[12]\.0"),
+    ("cc", "creative commons", r"creative commons(?: (?:attribution|noncommercial|non-commercial|sharealike|share-alike|noderivatives|noderivs))?(?:[- ](?:noncommercial|non-commercial|sharealike|share-alike|noderivatives|noderivs))*(?: (?:public )?licen[sc]e)?"),
+    ("cc", "cc-by", r"cc-by(?:-(?:nc|sa|nd))*(?:-[1-4]\.[05])?"),
+    ("cc", "cc by-", r"cc by(?:-(?:nc|sa|nd))+(?: [1-4]\.[05])?"),
+    ("cc0", "cc0", r"cc0(?:[- ]1\.0)?(?: universal)?"),
+    ("cc0", "commons zero", r"creative commons zero"),
+    ("isc", "isc licen", r"isc licen[sc]e"),
+    ("zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e"),
+    ("libpng", "libpng licen", r"(?<!zlib/)libpng licen[sc]e"),
+    ("boost", "boost software", r"boost software licen[sc]e"),
+    ("boost", "bsl-1.0", r"bsl-1\.0"),
+    ("unlicense", "unlicense", r"(?:the )?unlicense"),
+    ("artistic", "artistic licen", r"(?:perl )?artistic licen[sc]e"),
+    ("artistic", "artistic-", r"artistic-[12]\.0"),
+    ("psf", "python software", r"python software foundation licen[sc]e"),
+    ("psf", "psf-2.0", r"psf-2\.0"),
+    ("cddl", "common development", r"common development and distribution licen[sc]e"),
+    ("cddl", "cddl", r"cddl(?:[- ]?v?1\.[01])?"),
+    ("wtfpl", "do what the", r"do what the [a-z*]+ you want to public licen[sc]e"),
+    ("wtfpl", "wtfpl", r"wtfpl"),
+    ("eupl", "european union public", r"european union public licen[sc]e"),
+    ("eupl", "eupl", r"eupl(?:[- ]?v?1\.[0-2])?"),
+    ("ms-pl", "microsoft public", r"microsoft public licen[sc]e"),
+    ("ms-pl", "ms-pl", r"ms-pl"),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[sc]e"),
+    ("ofl", "open font", r"(?:sil )?open font licen[sc]e"),
+    ("ofl", "ofl-1", r"ofl-1\.[01]"),
+    ("odbl", "open database", r"open database licen[sc]e"),
+    ("odbl", "odbl", r"odbl(?:-1\.0)?"),
+    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e"),
+    ("gfdl", "gfdl", r"gfdl(?:[- ]?v?1\.[1-3])?"),
+    ("public-domain", "public domain", r"public domain"),
+    ("afl", "academic free", r"academic free licen[sc]e"),
+    ("osl", "open software licen", r"open software licen[sc]e"),
+    ("cpl", "common public licen", r"common public licen[sc]e"),
+    ("cpal", "common public attribution", r"common public attribution licen[sc]e"),
+    ("ipl", "ibm public", r"ibm public licen[sc]e"),
+    ("qpl", "q public", r"q public licen[sc]e"),
+    ("sspl", "server side public", r"server side public licen[sc]e"),
+    ("busl", "business source", r"business source licen[sc]e"),
+    ("elastic", "elastic licen", r"elastic licen[sc]e"),
+    ("ogl", "open government", r"open government licen[sc]e"),
+    ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa open source licen[sc]e"),
+    ("postgresql", "postgresql licen", r"postgresql licen[sc]e"),
+    ("openssl", "openssl licen", r"openssl licen[sc]e"),
+    ("php", "php licen", r"php licen[sc]e"),
+    ("ruby", "ruby licen", r"ruby licen[sc]e"),
+    ("vim", "vim licen", r"vim licen[sc]e"),
+    ("json", "json licen", r"json licen[sc]e"),
+    ("w3c", "w3c", r"w3c software (?:notice and )?licen[sc]e"),
+    ("sleepycat", "sleepycat licen", r"sleepycat licen[sc]e"),
+    ("proprietary", "rights reserved", r"all rights reserved"),
+    ("proprietary", "proprietary", r"proprietary (?:licen[sc]e|and confidential)"),
+    ("proprietary", "commercial licen", r"commercial licen[sc]e"),
 ]
 
-#: Ways of citing a licence, most telling first, with the confidence of a match; {n} is the name.
+#: Names that are words of other meanings too, and count only where they are cited.
+SHORT_NAMES = [
+    ("mit", "mit", r"mit"),
+    ("apache", "apache", r"apache(?:[- ]?v?(?:ersion )?[12](?:\.[01])?)?"),
+    ("bsd", "bsd", r"bsd"),
+    ("mpl", "mpl", r"mpl(?:[- ]?v?[12](?:\.[01])?)?"),
+    ("epl", "epl", r"epl(?:[- ]?v?[12](?:\.0)?)?"),
+    ("cc", "cc by", r"cc by(?: [1-4]\.[05])?"),
+    ("isc", "isc", r"isc"),
+    ("zlib", "zlib", r"zlib"),
+    ("boost", "boost", r"boost"),
+    ("artistic", "artistic", r"artistic"),
+    ("psf", "psf", r"psf"),
+    ("ofl", "ofl", r"ofl"),
+    ("unlicense", "unlicensed", r"unlicensed"),
+    ("ncsa", "ncsa", r"ncsa"),
+]
+
+#: Sentences and addresses that stand for a licence: label, keyword, expression.
+SIGNATURES = [
+    ("mit", "hereby granted, free of charge, to any person obtaining", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("boost", "hereby granted, free of charge, to any person or", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy"),
+    ("bsd", "redistribution and use in source", r"redistribution and use in source and binary forms,? with or without modification"),
+    ("isc", "permission to use, copy, modify", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee"),
+    ("gpl", "redistribute it and/or modify it under", r"redistribute it and/or modify it under the terms of (?:version 2 of )?the gnu general public licen[sc]e"),
+    ("lgpl", "redistribute it and/or modify it under", r"redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl", "redistribute it and/or modify it under", r"redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e"),
+    ("apache", "unless required by applicable law", r"unless required by applicable law or agreed to in writing, software distributed under the licen[sc]e"),
+    ("mpl", "source code form is subject", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("epl", "accompanying materials are made available under", r"accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("zlib", "without any express or implied warranty", r"this software is provided ['\"]?as-is['\"]?,? without any express or implied warranty\. in no event will the authors be held liable"),
+    ("ofl", "font software is licensed under", r"this font software is licensed under the sil open font licen[sc]e"),
+    ("cc0", "waived all copyright", r"to the extent possible under law, .{1,120}? has waived all copyright"),
+    ("mit", "opensource.org/licenses/mit", r"opensource\.org/licenses/mit"),
+    ("bsd", "opensource.org/licenses/bsd", r"opensource\.org/licenses/bsd(?:-[0-9]-clause|-license)?"),
+    ("isc", "opensource.org/licenses/isc", r"opensource\.org/licenses/isc"),
+    ("apache", "apache.org/licenses/license", r"apache\.org/licenses/license-(?:1\.[01]|2\.0)"),
+    ("gpl", "gnu.org/licenses/", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
+    ("lgpl", "gnu.org/licenses/", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
+    ("agpl", "gnu.org/licenses/agpl", r"gnu\.org/licenses/agpl"),
+    ("gfdl", "gnu.org/licenses/", r"gnu\.org/licenses/(?:old-licenses/)?fdl"),
+    ("mpl", "mozilla.org/mpl", r"mozilla\.org/mpl"),
+    ("epl", "eclipse.org/legal/epl", r"eclipse\.org/legal/epl"),
+    ("cc", "creativecommons.org/licenses/by", r"creativecommons\.org/licenses/by(?:-(?:nc|sa|nd))*"),
+    ("cc0", "creativecommons.org/publicdomain/zero", r"creativecommons\.org/publicdomain/zero"),
+    ("public-domain", "creativecommons.org/publicdomain/mark", r"creativecommons\.org/publicdomain/mark"),
+    ("boost", "boost.org/license", r"boost\.org/license"),
+    ("unlicense", "unlicense.org", r"unlicense\.org"),
+    ("wtfpl", "wtfpl.net", r"wtfpl\.net"),
+    ("ofl", "scripts.sil.org/ofl", r"scripts\.sil\.org/ofl"),
+]
+
+VERSION = r"(?:,? \(?v(?:ersion|\.)? ?[0-9]+(?:\.[0-9]+)*\)?)"
+
+#: What stands before the second and later names of an SPDX expression.
+SPDX_BEFORE = r"(?<=spdx-license-identifier: ?[a-z0-9.+() -]{1,100} (?:or|and|with) ?\(?)"
+
+#: Ways of citing, most telling first: keywords beside the name's, expression, confidence, and whether a
+#: short name may stand there. {n} is the name, {v} a version.
 CITATIONS = [
-    (r"spdx-license-identifier:\s*{n}", 1.0),
-    (r"(?:this (?:work|file|program|software|text|document) is )?(?:licensed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{n}(?:,? \(?v(?:ersion|\.)? ?[0-9]+(?:\.[0-9]+)*\)?)?(?: or (?:any )?later(?: version)?)?", 0.95),
-    (r"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{n}(?:,? v(?:ersion|\.)? ?[0-9]+(?:\.[0-9]+)*)?", 0.9),
-    (r"(?:copying|license|licence)\s*[:=]\s*[\"']?{n}", 0.85),
-    (r"{n},? \(?v(?:ersion|\.)? ?[0-9]+(?:\.[0-9]+)*\)?", 0.8),
-    (r"{n}", 0.5),
+    (("spdx-license-identifier:",), r"spdx-license-identifier: ?\(*{n}", 1.0, True),
+    (("under ",), r"(?:licen[sc]ed|released|distributed|redistributed|available|published|provided|offered|shared) (?:only )?under (?:the )?(?:terms? (?:and conditions )?of )?(?:either )?(?:the |an? )?{n}{v}?(?: or (?:\(at your option\) )?(?:any )?later(?: version)?)?", 0.95, True),
+    (("spdx-license-identifier:",), SPDX_BEFORE + "{n}", 0.95, True),
+    (("subject to ",), r"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{n}{v}?", 0.9, True),
+    (("licen",), r"licen[sc](?:e|es|ing)[\"']? ?[:=] ?\[? ?[\"'(]?(?:the )?{n}", 0.85, True),
+    (("copying",), r"copying[\"']? ?[:=] ?[\"'(]?(?:the )?{n}", 0.85, True),
+    (("licensed",), r"{n}[- ]licensed", 0.85, True),
+    ((), r"{n}{v}", 0.8, False),
+    ((), r"{n}", 0.5, False),
 ]
 
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, keyword, label, regular expression, confidence); a lower priority number goes first."""
-    return [(p, key, label, r"(?<![a-z0-9])" + way.replace("{n}", f"(?:{name})") + r"(?![a-z0-9])", sure) for p, (way, sure) in enumerate(CITATIONS) for key, label, names in FAMILIES for name in names]
+class Rule(NamedTuple):
+    priority: int
+    label: str
+    keywords: tuple[str, ...]  # all of them stand in every match, the name's own first
+    pattern: str
+    sure: float
+
+
+def rules() -> list[Rule]:
+    """In order of priority; signatures of a text stand beside the citations of the second kind."""
+    made = [Rule(p, label, (key, *words, *["licen"] * name.endswith("licen[sc]e")), way.replace("{n}", f"(?:{name})").replace("{v}", VERSION), sure) for p, (words, way, sure, short) in enumerate(CITATIONS) for label, key, name in FULL_NAMES + SHORT_NAMES * short]
+    return sorted([*made, *[Rule(1, label, (key,), pattern, 0.95) for label, key, pattern in SIGNATURES]], key=lambda r: (r.priority, r.label))
 
 
-#: A document without any of these runs no rule.
-KEYWORDS = sorted({key for key, _, _ in FAMILIES})
+#: The prefilter, words without blanks. Every rule has a keyword that holds one of them (a test sees to it).
+PREFILTER = [
+    "licen", "under", "subject", "copying", "gpl", "bsd", "x11", "apache-", "mpl-", "epl-", "bsl-", "psf-", "ofl-", "artistic-", "cc0", "cc-by", "by-", "commons", "cddl", "wtfpl", "eupl",
+    "ms-pl", "odbl", "gfdl", "domain", "reserved", "proprietary", "hereby", "redistribut", "permission", "required", "unencumbered", "warranty", "waived", "org/mpl", "legal/epl", "org/ofl", "affero",
+]
 
 #: White space between words, of a line or across lines, with the comment signs in it; possessive, so long runs are safe.
 SPACE = r"[\s\u0085\u00A0\u2000-\u200B\u2028\u2029\u202F\u205F\u3000]"
 SIGN = rf"(?:[#*;%!>|]+/?|/[/*]+!?|--+>?|<!--+|(?:dnl|rem)(?={SPACE}))"
 GAP = f"(?:{SPACE}++{SIGN}?+)++"
-GATE = "|".join(k.replace(" ", GAP) for k in KEYWORDS)
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased. ``lower`` is much quicker, changes other letters too, which here are all alike, and makes ASCII
+    letters of two signs alone."""
+    exact = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.contains(text, F.lit("\u212a")) | F.contains(text, F.lit("\u0130")), exact).otherwise(F.lower(text))
+
+
+def _any(found: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, found)
 
 
 def _spaces(text: Column) -> Column:
@@ -130,15 +241,15 @@ def base_phrases(rows: DataFrame) -> DataFrame:
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rules())], "rule int, priority int, keyword string, label string, pattern string, sure double")
+    return spark.createDataFrame([(i, r.priority, r.label, r.keywords[0], list(r.keywords), r"(?<![a-z0-9])" + r.pattern + r"(?![a-z0-9])", r.sure) for i, r in enumerate(rules())], "rule int, priority int, label string, keyword string, keywords array<string>, pattern string, sure double")
 
 
 def intervals(gated: DataFrame) -> DataFrame:
     """gated: row, low. (row, priority, label, sure, begin, end) of every rule's matches; places are characters."""
-    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(k)), F.lit(k)) for k in KEYWORDS]))
-    families = gated.select("row", "low", F.explode(present).alias("keyword"))
-    # The rules are a fixed table of some hundreds of rows.
-    tried = families.join(F.broadcast(rule_table(gated.sparkSession)), "keyword").where("regexp_like(low, pattern)")
+    keywords = F.array(*[F.lit(k) for k in sorted({r.keywords[0] for r in rules()})])
+    families = gated.select("row", "low", F.explode(F.filter(keywords, lambda k: F.contains(F.col("low"), k))).alias("keyword"))
+    # The rules are a fixed table of some hundreds of rows; few of them have all their keywords in a document.
+    tried = families.join(F.broadcast(rule_table(gated.sparkSession)), "keyword").where("forall(keywords, k -> contains(low, k))").where("regexp_like(low, pattern)")
     # Matches cut the text into the pieces between them; running sums of both give the places.
     n, gap = F.expr("transform(regexp_extract_all(low, pattern, 0), x -> char_length(x))"), F.expr("transform(split(low, pattern, -1), x -> char_length(x))")
     cut = tried.select("row", "rule", "priority", "label", "sure", n.alias("n"), gap.alias("gap"))
@@ -159,9 +270,10 @@ def surviving(intervals: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
-    rows = rows.withColumn("n_words", F.regexp_count("low", F.lit(WORD)).cast("long"))
+    rows = rows.withColumn("n_words", F.array_size(F.array_remove(F.split("low", NOT_WORD), "")).cast("long"))
     rows = rows.withColumn("words", F.when(F.contains("low", F.lit("license")), F.concat(F.lit(" "), F.btrim(F.regexp_replace("low", NOT_WORD, " ")), F.lit(" "))))
-    rows = base_phrases(rows).withColumn("low", F.when(F.col("low").rlike(GATE), F.regexp_replace("low", GAP, " "))).drop("words")
+    prefilter = _any([F.contains("low", F.lit(w)) for w in PREFILTER])
+    rows = base_phrases(rows).withColumn("low", F.when(prefilter, F.regexp_replace("low", GAP, " "))).drop("words")
     rows = stored(rows, "scanned")  # only the texts that run rules are kept
     kept = surviving(intervals(rows.where("low is not null").select("row", "low")))
     found = kept.groupBy("row").agg(F.collect_set("label").alias("method"), F.max("sure").alias("sure"))
