@@ -109,3 +109,19 @@ def test_all_empty_texts_are_packed(spark):
     got = packing.packed(docs).groupBy("sequence_id").agg({"offset": "max", "length": "sum"}).collect()
     assert sum(r["sum(length)"] for r in got) == 150_000 and len(got) <= -(-150_000 // 4096) + 1
     assert all(r["max(offset)"] == r["sum(length)"] - 1 for r in got)
+
+
+def test_byte_bpe_long_text_without_spaces_is_cut(spark):
+    """Several pieces, so several tasks, wherever the pattern ends a pre-token; a pre-token of many chunks stays whole."""
+    rng = random.Random(4)
+    base64ish = "".join(rng.choice("abcXYZ0189+/") for _ in range(5_000_000))
+    chinese = "".join(rng.choice("日本語中文字，。") for _ in range(200_000))
+    rows = [(1, base64ish), (2, chinese), (3, "z" * 2500 + "1" * 300 + "y" * 700 + "'ll'l " * 300), (4, "ab'l" * 900)]
+    path, small = public_tokenizers.path(byte_bpe.RANKS), {"chunk": 500, "overlap": 40}
+    enc = byte_bpe.encoding(path, public_tokenizers.PATTERN)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    big = byte_bpe.encode(df.where("doc_id < 3")).collect()
+    for r in [*big, *byte_bpe.encode(df.where("doc_id > 2"), **small).collect()]:
+        assert np.frombuffer(r["ids"], dtype="<u4").tolist() == enc.encode_ordinary(dict(rows)[r["doc_id"]]), r["doc_id"]
+    own = byte_bpe.PieceEncoder(path, public_tokenizers.PATTERN, remembered=20)
+    assert all(np.frombuffer(own.ids(t), dtype="<u4").tolist() == enc.encode_ordinary(t) for t in texts())

@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text of over ``chunk`` characters is cut into chunks that overlap; tasks pre-tokenise the chunks side by side. A
-chunk that starts inside a pre-token falls into step with its neighbour soon: the first place in the overlap where
-both end a pre-token before white space. Such a place ends a pre-token whatever came before, and nothing that follows
-it can change what stands before it. The text is cut again at those places, the pieces are encoded, and their ids
-are joined in order. A text with an overlap that has no such place is encoded whole. Decoding joins the raw bytes of
-the ids.
+A text is cut into chunks of ``chunk`` characters that overlap; most texts are one chunk. Tasks pre-tokenise the chunks
+side by side. The pattern looks at nothing before a pre-token and at no more than ``LOOK`` characters behind it, so
+two neighbours that both end a pre-token at one place of their overlap agree on all that follows: there the text is
+cut again. The pieces between such places are pre-tokenised, each pre-token is encoded by itself (a bounded table
+remembers the frequent ones), and the ids of a document are joined in order. Where an overlap has no such place, a
+pre-token spans all of it; only the chunks up to the next such place are put together, and a text is in one task only
+if it is one pre-token. Decoding joins the raw bytes of the ids.
 
 Defined results: a null text counts as empty and has no ids. Every row is encoded on its own, repeated rows and null
-ids too.
+ids too. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from .common import stored
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _ENCODINGS: dict[tuple[str, str], tiktoken.Encoding] = {}
 _BYTES: dict[str, dict[int, bytes]] = {}
+_PIECES: dict[tuple[str, str], PieceEncoder] = {}
 ROWS = 500  # documents that a task holds as ids at once
+LOOK = 8  # characters behind a pre-token that may decide where it ends
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -44,25 +47,54 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return _ENCODINGS[path, pattern]
 
 
-def id_bytes(enc: tiktoken.Encoding, text: str) -> bytes:
-    return np.array(enc.encode_ordinary(text), dtype="<u4").tobytes()
+class PieceEncoder:
+    """Encodes text pre-token by pre-token; a table of at most ``remembered`` of them (or those of one text)."""
 
+    def __init__(self, path: str, pattern: str, remembered: int = 300_000):
+        self.encode, self.split, self.remembered = encoding(path, pattern).encode_ordinary, regex.compile(pattern), remembered
+        self.table: dict[str, bytes] = {}
 
-def resync_points(text: str, pattern: str, offset: int) -> np.ndarray:
-    """Ends of pre-tokens that stand before white space and after something else, as places in the whole text."""
-    ends = [m.end() for m in regex.finditer(pattern, text)]
-    return np.array([e + offset for e in ends if e < len(text) and text[e] in " \t\n\r" and not text[e - 1].isspace()], dtype=np.int64)
+    def pre_tokens(self, text: str) -> list[str]:
+        return self.split.findall(text) if not self.split.groups else [m[0] for m in self.split.finditer(text)]
 
+    def ids(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        words, table = self.pre_tokens(text), self.table
+        try:
+            return b"".join(map(table.__getitem__, words))
+        except KeyError:
+            if len(table) > self.remembered:
+                table.clear()
+            for w in words:
+                if w not in table:
+                    table[w] = np.array(self.encode(w), dtype="<u4").tobytes()
+            return b"".join(map(table.__getitem__, words))
+
+    def ends(self, text: str) -> np.ndarray:
+        """Where pre-tokens end, but for places that text behind the chunk could still move."""
+        at = np.cumsum(np.fromiter(map(len, self.pre_tokens(text)), dtype=np.int64))
+        return at[at <= len(text) - LOOK]
+
+
+def piece_encoder(path: str, pattern: str) -> PieceEncoder:
+    """One for each worker process."""
+    if (path, pattern) not in _PIECES:
+        _PIECES[path, pattern] = PieceEncoder(path, pattern)
+    return _PIECES[path, pattern]
+
+
+def _encode_pieces(texts: DataFrame, columns: str, path: str, pattern: str) -> DataFrame:
+    """columns and text; the text becomes its ids."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
-def _encode_short(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path, pattern)
+        own = piece_encoder(path, pattern)
         for whole in batches:
             for at in range(0, len(whole), ROWS):
                 b = whole.iloc[at : at + ROWS]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [id_bytes(enc, t) for t in b["text"]]})
+                yield b[names].assign(ids=[own.ids(t) for t in b["text"]])
 
-    return docs.mapInPandas(run, "doc_id long, ids binary")
+    return texts.select(*names, "text").mapInPandas(run, f"{columns}, ids binary")
 
 
 def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -71,40 +103,29 @@ def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
     cut = cut.select("row", "doc_id", "chunks", "k", F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
 
     def pretokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = piece_encoder(path, pattern)
         for b in batches:
-            points = [resync_points(t, pattern, k * chunk) for t, k in zip(b["text"], b["k"], strict=True)]
+            ends = [own.ends(t) for t in b["text"]]
             at = b["k"].to_numpy() * chunk
-            yield b.assign(heads=[p[(p > a) & (p < a + overlap)] for p, a in zip(points, at, strict=True)], tails=[p[p > a + chunk] for p, a in zip(points, at, strict=True)])
+            yield b.assign(heads=[p[p < overlap] + a for p, a in zip(ends, at, strict=True)], tails=[p[p > chunk] + a for p, a in zip(ends, at, strict=True)])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = stored(cut.repartition(n, "row", "k").mapInPandas(pretokenise, "row long, doc_id long, chunks int, k int, text string, heads array<long>, tails array<long>"), "chunks")
+    # Only the few places of a chunk meet in the order of their text, never the chunks themselves.
     in_order = Window.partitionBy("row").orderBy("k")
-    meet = F.array_min(F.array_intersect("tails", F.lead("heads").over(in_order)))
-    placed = chunks.withColumn("end", meet).withColumn("begin", F.lag("end").over(in_order))
-    broken = F.max((F.col("end").isNull() & (F.col("k") < F.col("chunks") - 1)).cast("int")).over(Window.partitionBy("row"))
-    placed = placed.withColumn("whole", broken == 1).select("row", "doc_id", "k", "text", "begin", "end", "whole")
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path, pattern)
-        for b in batches:
-            ids, rest = [], []
-            for text, k, begin, end, whole in zip(b["text"], b["k"], b["begin"], b["end"], b["whole"], strict=True):
-                low = 0 if pd.isna(begin) else int(begin) - k * chunk
-                high = len(text) if pd.isna(end) else int(end) - k * chunk
-                ids.append(b"" if whole else id_bytes(enc, text[low:high]))
-                rest.append(text[:chunk] if whole else None)
-            yield pd.DataFrame({"row": b["row"], "doc_id": b["doc_id"], "k": b["k"], "ids": ids, "rest": rest})
-
-    pieces = placed.mapInPandas(encode, "row long, doc_id long, k int, ids binary, rest string")
-    whole = pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids", "rest"))).alias("p"))
-    whole = whole.select("doc_id", F.col("p.ids").alias("ids"), F.array_join("p.rest", "").alias("rest"))
-
-    def stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path, pattern)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [id_bytes(enc, r) if r else b"".join(i) for i, r in zip(b["ids"], b["rest"], strict=True)]})
-
-    return whole.mapInPandas(stitch, "doc_id long, ids binary")
+    places = chunks.select("row", "k", "heads", "tails").withColumn("end", F.array_min(F.array_intersect("tails", F.lead("heads").over(in_order))))
+    places = places.withColumn("begin", F.lag("end").over(in_order))
+    places = places.withColumn("stretch", F.count("begin").over(in_order)).withColumn("alone", F.count("*").over(Window.partitionBy("row", "stretch")) == 1)
+    placed = stored(chunks.drop("heads", "tails").join(places.select("row", "k", "begin", "end", "stretch", "alone"), ["row", "k"]), "placed")
+    start, first = F.col("k") * chunk, F.coalesce("begin", F.col("k") * chunk)
+    own = placed.withColumn("text", F.substring("text", (first - start + 1).cast("int"), F.coalesce(F.col("end") - first, F.when(F.col("k") < F.col("chunks") - 1, start + chunk - first).otherwise(F.char_length("text"))).cast("int")))
+    alone = own.where("alone").select("row", "doc_id", "stretch", "text")
+    together = own.where("not alone").groupBy("row", "stretch").agg(F.first("doc_id").alias("doc_id"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"))
+    pieces = _encode_pieces(alone.unionByName(together), "row long, doc_id long, stretch long", path, pattern)
+    ids = F.sort_array(F.collect_list(F.struct("stretch", "ids")))
+    # By way of hexadecimal text, which Spark joins in one go.
+    whole = F.unhex(F.array_join(F.transform(ids, lambda x: F.hex(x["ids"])), ""))
+    return pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), whole.alias("ids")).select("doc_id", "ids")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = 32_768, overlap: int = 1024) -> DataFrame:
@@ -114,7 +135,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     path = ranks or public_tokenizers.path(RANKS)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     short, long = base.where(F.char_length("text") <= chunk), base.where(F.char_length("text") > chunk)
-    return _encode_short(short, path, pattern).unionByName(_encode_long(long, path, pattern, chunk, overlap))
+    return _encode_pieces(short, "doc_id long", path, pattern).unionByName(_encode_long(long, path, pattern, chunk, overlap))
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
