@@ -47,3 +47,35 @@ def test_odd_vectors(spark):
     assert by == [(0, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), *[(i, 0, i, True) for i in range(3, 12)]]
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.embedding_links(none).count() == 0
+
+
+def test_double_vectors_and_text_labels(spark):
+    """Pairs within 2e-9 of the threshold need the column's own precision."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(150):
+        a, b = rng.normal(size=(2, 8))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b /= np.linalg.norm(b)
+        cos = 0.98 + float(rng.uniform(-2e-9, 2e-9))
+        rows += [(2 * i, a, f"label {i}"), (2 * i + 1, cos * a + np.sqrt(1 - cos * cos) * b, f"label {i}")]
+    df = spark.createDataFrame([(i, [float(x) for x in v], l) for i, v, l in rows], "vec_id long, embedding array<double>, label string")
+    got = embedding_dedup.embedding_links(df).collect()
+    n, c = brute(rows, 0.98)
+    assert 20 < sum(n.values()) < 280
+    assert {r["vec_id"]: r["n_links"] for r in got} == n and {r["vec_id"]: r["component_id"] for r in got} == c
+
+
+def test_hot_cells_are_parted_before_they_are_chunked(spark):
+    """Spread vectors in one cell: dealing by further coordinates copies far fewer rows than pairs of chunks do, and the
+    more so the hotter the cell is."""
+    rng = np.random.default_rng(9)
+    rows = {}
+    for n in (3000, 9000):
+        v = rng.normal(size=(n, 16)).astype(np.float32)
+        df = spark.createDataFrame([(i, 1, 1, [float(y) for y in x]) for i, x in enumerate(v)], "rep long, n long, label long, vec array<float>")
+        for levels in (1, 4):
+            rows[n, levels] = embedding_dedup.dealt_out(df, 0.04, 4, 1, 100, levels=levels).count()
+    assert rows[9000, 4] < 0.7 * rows[9000, 1] and rows[9000, 4] / rows[9000, 1] < rows[3000, 4] / rows[3000, 1]
+    print(rows)

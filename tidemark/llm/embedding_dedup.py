@@ -5,8 +5,12 @@ each block gets a share of the squared-distance budget in proportion to its widt
 budget in at least one block. Every block is range-joined on its own: its leading coordinates are cut into cells of
 twice the block's radius, a vector lives in its cell and visits the later cells that its radius reaches. Candidates
 of a cell are verified at once by the exact cosine in double precision, and counted only in the first block that
-finds them. Cells return link counts and spanning stars, never pairs. A cell of over ``cell_rows`` rows is split in
-chunks, and pairs of chunks go to different tasks.
+finds them. Cells return link counts and spanning stars, never pairs. A dealt row holds its vector once, in the type of
+its column; the rotation is computed again where it is needed, row by row, so that all tasks see the same numbers.
+
+A cell of over ``cell_rows`` rows is dealt once more by further coordinates of its block, in the same way, as long as
+that makes it smaller. What no coordinate of the block parts is a crowd within about one radius, where nearly all
+pairs are links that have to be counted: it is split in chunks, and pairs of chunks go to different tasks.
 
 Equal vectors of a label are one class that is searched once. More rows mean more leading coordinates, by formula.
 
@@ -19,18 +23,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import components, stored
 from .simhash import _join_up
 
 #: Absolute slack of squared distances: rotated coordinates are rounded to float32.
 SLACK = 1e-5
-ROUTED = "cell long, block int, home boolean, rep long, n long, vec array<float>, turned array<float>"
 
 
 def rotation(dims: int, seed: int = 7) -> np.ndarray:
@@ -38,6 +43,12 @@ def rotation(dims: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def turned(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors after the rotation; a row's numbers don't depend on the rows beside it."""
+    unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+    return np.einsum("ij,jk->ik", unit, rotation(vectors.shape[1])).astype(np.float32).astype(np.float64)
+
+
 def block_cuts(dims: int, blocks: int) -> list[int]:
     blocks = min(blocks, dims)
     return [dims * i // blocks for i in range(blocks + 1)]
@@ -49,50 +60,61 @@ def _mix(h: np.ndarray, v: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def route(classes: DataFrame, budget: float, blocks: int, leading: int) -> DataFrame:
-    """classes: label, rep, n, vec. A row for each block and cell that a class lives in or visits."""
+def _visits(x: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows, their cells, and whether those are their homes. Of two rows within the radius, one lives where the other
+    lives or visits, and that is one cell only."""
+    home = np.floor(x / (2 * radius)).astype(np.int64)
+    first, last = np.floor((x - radius) / (2 * radius)).astype(np.int64), np.floor((x + radius) / (2 * radius)).astype(np.int64)
+    for steps in np.ndindex(*([3] * x.shape[1])):
+        step = next((s - 1 for s in steps if s != 1), 0)
+        if step < 0:  # only later cells are visited
+            continue
+        cell = home + np.array(steps) - 1
+        rows = np.flatnonzero(((cell >= first) & (cell <= last)).all(axis=1))
+        if len(rows):
+            yield rows, cell[rows], step == 0
+
+
+def deal(rows: DataFrame, vec_type: str, budget: float, blocks: int, begin: int, count: int) -> DataFrame:
+    """A row for each cell that a row lives in or visits, by ``count`` coordinates of its block from ``begin`` on.
+
+    rows: parent (name of the cell, or of the label), block (null: every block), homes (a bit for each time a row was
+    dealt to its home), label, rep, n, vec.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for dims, part in b.groupby(b["vec"].str.len()):
-                raw = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-                turned = (unit @ rotation(int(dims))).astype(np.float32)
-                labels = part["label"].to_numpy().astype(np.int64)
+                x = turned(np.stack(part["vec"].to_numpy()).astype(np.float64))
                 cuts = block_cuts(int(dims), blocks)
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    radius = math.sqrt(budget * (hi - lo) / dims + SLACK)
-                    x = turned[:, lo : min(hi, lo + leading)].astype(np.float64)
-                    home = np.floor(x / (2 * radius)).astype(np.int64)
-                    first, last = np.floor((x - radius) / (2 * radius)).astype(np.int64), np.floor((x + radius) / (2 * radius)).astype(np.int64)
-                    base = _mix(_mix(np.full(len(part), dims * 64 + k, dtype=np.uint64), labels), labels >> 7)
-                    for steps in np.ndindex(*([3] * x.shape[1])):
-                        cell = home + np.array(steps) - 1
-                        ok = ((cell >= first) & (cell <= last)).all(axis=1)
-                        step = next((s - 1 for s in steps if s != 1), 0)  # only later cells are visited
-                        if step < 0 or not ok.any():
-                            continue
-                        name = base
-                        for j in range(x.shape[1]):
-                            name = _mix(name, cell[:, j])
-                        i = np.flatnonzero(ok)
-                        yield pd.DataFrame({"cell": name[i].view(np.int64), "block": k, "home": step == 0, "rep": part["rep"].to_numpy()[i], "n": part["n"].to_numpy()[i], "vec": part["vec"].to_numpy()[i], "turned": list(turned[i])})
-
-    return classes.mapInPandas(run, ROUTED)
+                    own = np.flatnonzero(part["block"].isna() | (part["block"] == k))
+                    coordinates = x[own, min(hi, lo + begin) : min(hi, lo + begin + count)]
+                    name = _mix(part["parent"].to_numpy(dtype=np.int64)[own].view(np.uint64), np.full(len(own), dims * 64 + k))
+                    for at, cell, home in _visits(coordinates, math.sqrt(budget * (hi - lo) / dims + SLACK)) if len(own) else ():
+                        cell_name = name[at]
+                        for j in range(cell.shape[1]):
+                            cell_name = _mix(cell_name, cell[:, j])
+                        t = part.iloc[own[at]]
+                        yield t.assign(cell=cell_name.view(np.int64), block=k, homes=t["homes"] * 2 + int(home))
+
+    columns = f"parent long, cell long, block int, homes int, label long, rep long, n long, vec {vec_type}"
+    names = [c.split()[0] for c in columns.split(", ")]
+    return rows.select("parent", "block", "homes", "label", "rep", "n", "vec").mapInPandas(lambda batches: (t[names] for t in run(batches)), columns)
 
 
 def search_cell(t: pd.DataFrame, threshold: float, budget: float, blocks: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Weighted link counts of a cell's rows, and for each row a row of its local component."""
     n = len(t)
     raw = np.stack(t["vec"].to_numpy()).astype(np.float64)
-    norms = np.linalg.norm(raw, axis=1)
-    turned = np.stack(t["turned"].to_numpy()).astype(np.float64)
-    block, home, weight, rep = int(t["block"].iloc[0]), t["home"].to_numpy(), t["n"].to_numpy(), t["rep"].to_numpy()
-    chunk, pair_a, pair_b = t["chunk"].to_numpy(), int(t["pair_a"].iloc[0]), int(t["pair_b"].iloc[0])
+    norms = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+    spun = turned(raw)
+    block, homes, weight, rep, label = int(t["block"].iloc[0]), t["homes"].to_numpy(), t["n"].to_numpy(), t["rep"].to_numpy(), t["label"].to_numpy()
+    chunk, pair_a, pair_b, all_homes = t["chunk"].to_numpy(), int(t["pair_a"].iloc[0]), int(t["pair_b"].iloc[0]), (1 << int(t["level"].iloc[0])) - 1
     dims = raw.shape[1]
     cuts = np.array(block_cuts(dims, blocks))
     allowed = budget * np.diff(cuts) / dims + SLACK
-    x = turned[:, cuts[block] : cuts[block + 1]]
+    x = spun[:, cuts[block] : cuts[block + 1]]
     sq = (x * x).sum(axis=1)
     counts, parent = np.zeros(n, dtype=np.int64), np.arange(n)
     for s in range(0, n, tile):
@@ -100,13 +122,13 @@ def search_cell(t: pd.DataFrame, threshold: float, budget: float, blocks: int, t
         near = sq[s:e, None] + sq[None, s:] - 2 * (x[s:e] @ x[s:].T) <= allowed[block] * 1.001 + SLACK
         i, j = np.nonzero(near)
         i, j = i + s, j + s
-        ok = (i < j) & (home[i] | home[j]) & (rep[i] != rep[j])
+        ok = (i < j) & ((homes[i] | homes[j]) == all_homes) & (rep[i] != rep[j]) & (label[i] == label[j])
         if pair_a != pair_b:
             ok &= chunk[i] != chunk[j]
         i, j = i[ok], j[ok]
         for c in range(0, len(i), 1 << 15):
             a, b = i[c : c + (1 << 15)], j[c : c + (1 << 15)]
-            gap = (turned[a] - turned[b]) ** 2
+            gap = (spun[a] - spun[b]) ** 2
             inside = np.add.reduceat(gap, cuts[:-1], axis=1) <= allowed
             mine = inside[:, block] & ~inside[:, :block].any(axis=1)
             a, b = a[mine], b[mine]
@@ -118,17 +140,30 @@ def search_cell(t: pd.DataFrame, threshold: float, budget: float, blocks: int, t
     return counts, parent
 
 
-def _split_hot(routed: DataFrame, cell_rows: int) -> DataFrame:
-    """Add chunk, pair_a, pair_b: a large cell becomes one task for each pair of its chunks."""
-    hot = stored(routed.groupBy("cell", "block").agg(F.count("*").alias("rows")).where(F.col("rows") > cell_rows), "hot_cells")
-    one = F.lit(0)
-    if hot.isEmpty():
-        return routed.withColumns({"chunk": one, "pair_a": one, "pair_b": one})
-    marked = routed.join(hot, ["cell", "block"], "left").withColumn("chunks", F.coalesce(F.ceil(F.col("rows") / cell_rows), F.lit(1)).cast("int"))
-    marked = marked.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = marked.select(*marked.columns, other.alias("other")).drop("rows", "chunks")
-    return dealt.withColumns({"pair_a": F.least("chunk", "other"), "pair_b": F.greatest("chunk", "other")}).drop("other")
+def dealt_out(classes: DataFrame, budget: float, blocks: int, leading: int, cell_rows: int, again: int = 2, levels: int = 4) -> DataFrame:
+    """Rows of cells: the columns of ``deal``, level, and chunk, pair_a, pair_b for cells that stay too large."""
+    vec_type = classes.schema["vec"].dataType.simpleString()
+    first = classes.withColumns({"parent": F.col("label"), "block": F.lit(None).cast("int"), "homes": F.lit(0)})
+    open_ = stored(deal(first, vec_type, budget, blocks, 0, leading), "dealt")
+    done, one, level = [], F.lit(0), 1
+    while True:
+        sizes = open_.groupBy("cell", "block").agg(F.count("*").alias("rows"))
+        hot = stored(sizes.where(F.col("rows") > cell_rows), "hot_cells")
+        marked = open_.withColumn("level", F.lit(level))
+        if hot.isEmpty():
+            done.append(marked.withColumns({"chunk": one, "pair_a": one, "pair_b": one}))
+            break
+        done.append(marked.join(hot, ["cell", "block"], "left_anti").withColumns({"chunk": one, "pair_a": one, "pair_b": one}))
+        crowd = open_.join(hot, ["cell", "block"])
+        smaller = stored(deal(crowd.withColumn("parent", F.col("cell")), vec_type, budget, blocks, leading + again * (level - 1), again), "dealt")
+        parts = smaller.groupBy("parent", "cell", "block").agg(F.count("*").alias("part")).groupBy("parent", "block").agg(F.max("part").alias("most"))
+        helped = hot.join(parts, (hot["cell"] == F.col("parent")) & (hot["block"] == parts["block"])).where(F.col("most") <= 0.6 * F.col("rows")).select("parent", hot["block"])
+        helped = stored(helped if level < levels else helped.limit(0), "helped")
+        left = crowd.withColumn("level", F.lit(level)).join(helped.withColumnRenamed("parent", "cell"), ["cell", "block"], "left_anti").withColumn("chunks", F.ceil(F.col("rows") / cell_rows).cast("int"))
+        left = left.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        done.append(left.withColumns({"pair_a": F.least("chunk", "other"), "pair_b": F.greatest("chunk", "other")}).drop("rows", "chunks", "other"))
+        open_, level = stored(smaller.join(helped, ["parent", "block"], "left_semi"), "dealt"), level + 1
+    return reduce(DataFrame.unionByName, done)
 
 
 def links_of_classes(classes: DataFrame, threshold: float, blocks: int = 4, cell_target: int = 4096, cell_rows: int = 8192) -> DataFrame:
@@ -137,7 +172,7 @@ def links_of_classes(classes: DataFrame, threshold: float, blocks: int = 4, cell
     total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
     leading = max(1, min(6, math.ceil(math.log(max(1.0, total / max(1, labels) / cell_target)) / math.log(1 / 0.45))))
     budget = 2 - 2 * threshold
-    routed = stored(route(classes, budget, blocks, leading), "routed")
+    dealt = dealt_out(classes, budget, blocks, leading, cell_rows)
     keys = ["cell", "block", "pair_a", "pair_b"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,17 +198,19 @@ def links_of_classes(classes: DataFrame, threshold: float, blocks: int = 4, cell
             yield from complete(pd.concat(held), True)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _split_hot(routed, cell_rows).repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long, n long")
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long, n long")
 
 
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, **options) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"), F.col(label_col).cast("long").alias("label"))
+    element = vectors.schema[vec_col].dataType.elementType
+    vec_type = "array<float>" if isinstance(element, FloatType) else "array<double>"
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(vec_type).alias("vec"), F.col(label_col).alias("label"))
     finite = F.expr("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
     base = stored(base.withColumn("ok", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))), "vectors")
     able = base.where("ok").select("vec_id", "label", "vec", F.xxhash64("label", "vec").alias("h"))
     classes = stored(able.groupBy("h", "label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    found = stored(links_of_classes(classes.select("label", "rep", "n", "vec"), threshold, **options), "links")
+    found = stored(links_of_classes(classes.select(F.xxhash64("label").alias("label"), "rep", "n", "vec"), threshold, **options), "links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     linked = components(found.where("b is not null").select("a", "b"))
     of_class = classes.join(counts, F.col("rep") == F.col("a"), "left").drop("a").join(linked, F.col("rep") == F.col("node"), "left")
