@@ -18,29 +18,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
         base = _OWN_FOLDER[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
-    ``by`` names a column of few values; a filter on it then reads that part alone.
+    ``by`` names a column of few values; a filter on it then reads that part alone. ``options`` go to the writer.
     """
     path = shared_path(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most that many whole texts at once in a Python worker, for the session; a smaller setting stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,9 +76,19 @@ def passing(rows: DataFrame, key: Column, words: np.ndarray, bits: int, passes:
     return rows.where(found if passes else ~found)
 
 
-def parted(rows: DataFrame, key: Column, keys: DataFrame, name: str, bits: int = 1 << 23) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may be in ``keys``, all others). Only the first need a shuffle to meet ``keys``; a filter that
-    has become too full for the keys sends more rows there and loses none."""
+def bits_for(keys: int, most_bits: int, each: int = 12) -> int:
+    """Bits of a filter of that many keys, a power of two; 0 if it would need more than ``most_bits``."""
+    bits = 1 << max(16, (keys * each - 1).bit_length())
+    return bits if bits <= most_bits else 0
+
+
+def parted(rows: DataFrame, key: Column, keys: DataFrame, name: str, most_bits: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ``keys``, all others). Only the first need a shuffle to meet ``keys``. The filter is
+    as large as ``keys`` needs; where that is more than ``most_bits``, which is all that is ever gathered and
+    broadcast, all rows are in the first part, and a join does without it."""
+    bits = bits_for(keys.count(), most_bits)
+    if not bits:
+        return rows, rows.limit(0)
     words = bloom_words(keys, name, bits)
     return passing(rows, key, words, bits), passing(rows, key, words, bits, passes=False)
 
