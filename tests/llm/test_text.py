@@ -262,6 +262,32 @@ def test_lm_base_score_is_exact(spark, documents, odd):
             assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
 
 
+def test_lm_score_equals_brute_force(spark, documents, odd):
+    """Counts by level, pairs against words, in plain Python; a filter of many bits has no false answers."""
+    for docs in (documents.select("doc_id", "text"), odd.select("doc_id", "text")):
+        rows = docs.collect()
+        tokens = [((r["text"] or "").encode().lower().split() + [None]) for r in rows]
+        train = [t for r, t in zip(rows, tokens, strict=True) if r["doc_id"] is None or crc(r["doc_id"], 7) != 2]
+        words = collections.Counter(w for t in train for w in t)
+        pairs = collections.Counter(p for t in train for p in zip([None, *t], t, strict=False))
+        n, v = sum(words.values()), len(words)
+        weight = min(0.9, max(0.01, sum(c for c in pairs.values() if c > 1) / max(1, n)))
+
+        def middle(c):
+            low = 1 << (c.bit_length() - 1) if c else 0
+            return (low + 2 * low - 1) / 2 if c else 0.0
+
+        def score(t):
+            return sum(math.log10(weight * min(1.0, middle(pairs[a, b]) / (middle(words[a]) + 1)) + (1 - weight) * (middle(words[b]) + 1) / (n + v + 1)) for a, b in zip([None, *t], t, strict=False))
+
+        want = sorted((r["doc_id"] or 0, score(t)) for r, t in zip(rows, tokens, strict=True))
+        got = sorted((r["doc_id"] or 0, r["score"]) for r in lm_score.scored(docs, bits_per_entry=3000).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9)
+        # The bits of production answer wrongly here and there.
+        usual = sorted((r["doc_id"] or 0, r["score"]) for r in lm_score.scored(docs).collect())
+        assert np.mean([abs(x / y - 1) for (_, x), (_, y) in zip(usual, want, strict=True)]) < 0.03
+
+
 def test_lm_filter_holds_levels_and_pairs_help_where_words_follow_each_other(spark):
     rng = np.random.default_rng(6)
     key = rng.integers(0, 2**63, 5000).astype(np.uint64)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches, stored
+from .common import remainder, stored
 
 END = np.uint64(xxhash.xxh64_intdigest(b" end "))  # no word holds a space
 PROBES = 4
@@ -202,7 +202,7 @@ def asked(packed: DataFrame, segments: int) -> DataFrame:
     return packed.select("slab", "held", "size", "text").mapInPandas(run, "slab long, segment int, word binary, word_n binary, pair binary, pair_n binary")
 
 
-def answered(rows: DataFrame) -> DataFrame:
+def answered(rows: DataFrame, bits_per_entry: int = 10) -> DataFrame:
     """For each row of ``asked`` slab, segment, exact counts of its words, levels of its words and of its pairs. A row
     without a slab has the segment's training tokens, distinct words, and tokens of pairs that stand again."""
 
@@ -215,7 +215,7 @@ def answered(rows: DataFrame) -> DataFrame:
             counts.append(n)
             backs.append(back)
             cuts.append(np.r_[0, np.cumsum(t[name].str.len().to_numpy() // 8)].astype(np.int64))
-        f = LogFilter(np.concatenate(keys), np.concatenate(counts))
+        f = LogFilter(np.concatenate(keys), np.concatenate(counts), bits_per_entry)
         exact = counts[0][backs[0]]
         word, pair = (f.found(k).astype(np.uint8)[b] for k, b in zip(keys, backs, strict=True))
         columns = {"word_n": (exact, cuts[0]), "word_level": (word, cuts[0]), "pair_level": (pair, cuts[1])}
@@ -227,7 +227,7 @@ def answered(rows: DataFrame) -> DataFrame:
     return rows.groupBy("segment").applyInPandas(run, "slab long, segment int, word_n binary, word_level binary, pair_level binary, total long, distinct long, again long")
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, table_rows: int = 1_000_000, weight: float | None = None) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, table_rows: int = 1_000_000, weight: float | None = None, bits_per_entry: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     ``weight`` of the pairs against the words: by default the share of pairs that would still be in the filter with one
@@ -235,13 +235,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     every exact count now comes from its segment, and the results do not depend on it.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = base.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)))
     packed = stored(slabs(base), "slabs")
-    # Some segments for each partition, so that partitions fill evenly.
-    segments = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    answers = stored(answered(asked(packed, segments)), "answers")
+    # Some segments for each partition, so that partitions fill evenly, and more where the corpus is large, so that a
+    # segment has the n-grams of about four slabs at most.
+    segments = 1 << (max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), packed.count() // 4) - 1).bit_length()
+    answers = stored(answered(asked(packed, segments), bits_per_entry), "answers")
     total, distinct, again = answers.where("slab is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "again")]).first()
     if weight is None:
         weight = min(0.9, max(0.01, again / max(1, total)))
