@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.forecast import frames, models, registry, scoring
 from tidemark.operators import evaluate
 from tidemark.operators import windows as W
+from tidemark.sources.shared import stored
 from tidemark.spec import SeriesSpec
 
 SPEC = SeriesSpec(("k",), "ds")
@@ -31,13 +32,47 @@ def test_steps_beat_persistence(daily):
     m.fit(split.where("split = 'train'"))
     out = m.transform(split.where("split = 'test'")).withColumns({"y1": F.col("y")[2], "p1": F.col("predictions")[2], "last": F.col("x")[6][0]})
     assert mae(out, "y1", "p1") < mae(out, "y1", "last")
-    tuned = models.fine_tuned(m, frame.where("k = 'a'"), frame.where("k = 'b'"))
-    assert len(tuned.models) == 3
+
+
+def test_tuning_on_a_second_data_set_lowers_its_errors(spark):
+    """Daily swings of the new set go the other way; after tuning the forecaster follows them and still knows the old."""
+    rng = np.random.default_rng(2)
+    start = dt.date(2021, 1, 1)
+    rows = [(k, start + dt.timedelta(days=i), (1 if k == "old" else -1) * 10 * math.sin(2 * math.pi * i / (7 if k == "old" else 5)) + float(rng.normal(0, 0.5))) for k, n in (("old", 400), ("new", 150)) for i in range(n)]
+    m = models.StepRegression(7, 2)
+    frame = m.frame(spark.createDataFrame(rows, "k string, ds date, y double"), SPEC, ["y"], "y")
+    split = stored(W.chronological_split(frame, SPEC))
+    learn = split.where("split = 'train'")
+    old, new = learn.where("k = 'old'"), learn.where("k = 'new'")
+    base = m.fit(old)
+
+    def error(model, k):
+        out = model.transform(split.where((F.col("k") == k) & (F.col("split") == "test"))).withColumns({"y0": F.col("y")[0], "p0": F.col("predictions")[0]})
+        return mae(out, "y0", "p0")
+
+    tuned = models.fine_tuned(base, old, new)
+    assert error(tuned, "new") < 0.7 * error(base, "new") and error(tuned, "old") < 5
+
+
+def test_enhanced_features_fill_and_interact(spark, daily):
+    df = daily.withColumns({"low": F.col("y") - 5, "wind": F.when(F.dayofmonth("ds") % 9 != 0, 3.0), "rain": F.lit(0.5), "odd": F.when(F.dayofyear("ds") == 3, 1.0)})
+    frame, made = models.enhanced_features(df, SPEC, "y", ["odd"], {"high": "y", "low": "low", "wind": "wind", "precip": "rain"}, fill=True)
+    assert {"temp_range", "wind_temp", "log_precip", "y_lag_21", "y_roll_30_mean"} <= set(made)
+    assert not any(c.startswith("odd_") for c in made)  # hardly ever known
+    assert frame.count() == df.count() and frame.where(" or ".join(f"{c} is null" for c in made)).isEmpty()
+
+
+def test_rows_without_a_feature_keep_their_place(spark, daily):
+    df = daily.withColumn("f", F.when(F.dayofmonth("ds") > 3, F.col("y"))).where("ds < '2020-03-01'")
+    model = models.boosted(["f"], "y", trees=2, depth=2).fit(df)
+    out = models.predictions(model, df, ["f"])
+    assert out.count() == df.count() and out.where("(f is null) <> (prediction is null) or (f is null) <> (error is not null)").isEmpty()
 
 
 def test_boosted_without_leaks_and_registry(spark, daily, tmp_path):
     frame, made = models.enhanced_features(daily, SPEC, "y")
-    split = W.chronological_split(frame, SPEC).withColumn("check", F.col("split") == "val")
+    assert {"y_lag_30", "y_roll_30_std", "y_pct_6", "month_sin", "is_winter"} <= set(made)
+    split = stored(W.chronological_split(frame, SPEC).withColumn("check", F.col("split") == "val"))
     model = models.boosted(made, "y", validation="check", trees=15, depth=4).fit(split.where("split <> 'test'"))
     out = model.transform(split.where("split = 'test'"))
     mean = split.where("split = 'train'").agg(F.avg("y")).first()[0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import aggregate, align, anomaly, clean, evaluate, serving
+from tidemark.operators import aggregate, align, anomaly, clean, evaluate, ranks, serving
 from tidemark.operators import windows as W
 from tidemark.sources.shared import stored
 from tidemark.spec import SeriesSpec
@@ -164,3 +164,45 @@ def test_duplicate_and_loss_rate_of_nothing(spark):
     none = spark.createDataFrame([], "k string")
     assert aggregate.duplicate_rate(none, ["k"]).first()["duplicate_rate"] == 0.0
     assert aggregate.loss_rate(none, none, ["k"]).first()["loss_rate"] == 0.0
+
+
+def test_percentiles_running_totals_and_previous_rows(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 7.0, rng.uniform(0, 9), float(rng.randrange(4))]), i) for i in range(700)] + [("c", None, 1000), ("d", 2.5, 1001)]
+    df = spark.createDataFrame(rows, "k string, v double, i long").repartition(5)
+    want = {(r["k"], r["q"][0], r["q"][1]) for r in df.where("v is not null").groupBy("k").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.9))).alias("q")).collect()}
+    got = {(r["k"], r["p0"], r["p1"]) for r in ranks.percentiles(df, ["v"], [0.25, 0.9], ["k"]).collect()}
+    assert {(k, round(a, 9), round(b, 9)) for k, a, b in got} == {(k, round(a, 9), round(b, 9)) for k, a, b in want}
+    assert clean.medians(df.limit(0), ["v"]).first()["median_v"] is None
+    for parts in (1, 7):
+        last, total = {}, {}
+        expected = {}
+        for k, v, i in sorted(rows, key=lambda r: r[2]):
+            expected[i] = (last.get(k), total.get(k, 0))
+            last[k], total[k] = v, total.get(k, 0) + i
+        back = {r["i"]: r["v_before"] for r in ranks.previous(df, ["k"], ["i"], ["v"], parts).collect()}
+        sums = {r["i"]: (r["n_before"], r["n_all"]) for r in ranks.running(df.withColumn("n", F.col("i")), ["k"], "i", ["n"], parts).collect()}
+        assert back == {i: b for i, (b, _) in expected.items()}
+        assert sums == {i: (expected[i][1], total[k]) for k, _, i in rows}
+
+
+def test_ranking_against_all_pairs(spark):
+    rows = [(i, (i * 7) % 5, int((i * i) % 3 == 1)) for i in range(60)] + [(99, None, 1), (100, 1, None)]
+    df = spark.createDataFrame(rows, "i long, s long, y int")
+    got = evaluate.ranking(df, F.col("y"), F.col("s")).first()
+    known = [(s, y) for _, s, y in rows if s is not None and y is not None]
+    pos, neg = [s for s, y in known if y], [s for s, y in known if not y]
+    assert abs(got["roc_auc"] - sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)) < 1e-12
+    ap = sum(sum(1 for q in pos if q >= p) / sum(1 for q, _ in known if q >= p) for p in pos) / len(pos)
+    assert abs(got["average_precision"] - ap) < 1e-12
+    assert evaluate.ranking(df.where("y = 1"), F.col("y"), F.col("s")).first()["roc_auc"] is None
+
+
+def test_constant_fill_knows_raw_names_and_refuses_unknown_ones(spark):
+    raw = spark.createDataFrame([("a", None, None)], "station_id string, sea_level_pressure double, precipitation_last_hour double")
+    assert tuple(clean.fill_constants(raw).first())[1:] == (1013.25, 0.0)
+    with pytest.raises(ValueError, match="pressure"):
+        clean.fill_constants(raw, {"pressure": 1.0})
+    assert clean.fill_constants(raw, {"pressure": 1.0}, absent="ignore").first()["sea_level_pressure"] is None

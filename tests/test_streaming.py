@@ -188,3 +188,28 @@ def test_streams_over_unordered_files_equal_the_table(spark, unordered, name):
     at = [[x[0] for x in want.description].index(n) for n in names]
     got = sorted(canonical([r[n] for n in names]) for r in catalog.queries()[name](spark, unordered).collect())
     assert got == sorted(canonical([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_raw_topic_to_feature_topic(spark, tmp_path):
+    """Lines of the declared raw schema, with nulls, a broken line, a repeated poll and a bad time, through a stream."""
+    day = "2025-12-13T09:%02d:00+00:00"
+    rows = [{"station_id": "KMSN", "station_name": "Madison", "timestamp": day % m, "temperature": 1.0 * m, "humidity": 50.0, "wind_speed": None, "wind_direction": 350 + m, "sea_level_pressure": None if m else 1000.0, "precipitation_last_hour": m} for m in (0, 1, 2)]
+    lines = [*map(json.dumps, rows), json.dumps(rows[0]), "{broken", json.dumps(rows[1] | {"timestamp": "never"})]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines) + "\n")
+    got = []
+    raw = log.read_stream(spark, str(tmp_path / "in"), "value string", "text")
+    out = features.weather_records(raw, "5 minutes", distinct=True)
+    run(features.upsert_sink(out, str(tmp_path / "cp"), lambda df, n: got.extend(df.collect())))
+    assert [r["key"] for r in got] == ["KMSN"]
+    v = json.loads(got[0]["value"])
+    assert (v["measurement_count"], v["temperature_mean"], v["precipitation_max"], v["wind_speed_max"]) == (3, 1.0, 2.0, 0.0)
+    assert v["pressure_min"] == 1000.0 and v["pressure_max"] == 1013.25 and v["window_start"] == "2025-12-13 09:00:00"
+
+
+def test_monitor_reads_the_lag_of_a_source():
+    from types import SimpleNamespace as N
+
+    assert monitor.behind(N(metrics={"maxOffsetsBehindLatest": "12"}, latestOffset=None, endOffset=None)) == 12
+    assert monitor.behind(N(metrics={}, latestOffset='{"t": {"0": 15, "1": 7}}', endOffset='{"t": {"0": 10}}')) == 12
+    assert monitor.behind(N(metrics=None, latestOffset=None, endOffset='{"logOffset": 3}')) is None

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import clean
 from ..operators import windows as W
 from ..spec import SeriesSpec
 
@@ -37,17 +39,43 @@ def importances(model: PipelineModel, features: Sequence[str], k: int | None = N
     return pairs[:k] if k else pairs
 
 
-def enhanced_features(df: DataFrame, spec: SeriesSpec, metric: str, others: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
-    """Calendar, cyclic, season, lag, rolling and difference features of rows before the target's. Nothing on the target's
-    own row takes part: rolling frames end one row earlier, and differences are those of the lagged values."""
-    t = W.lags(df, spec, [metric, *others], (1, 2, 3, 7, 14))
-    t = W.rolling(t, spec, [metric], (3, 7, 14), until=-1)
-    t = t.withColumns({f"{metric}_diff_1": F.col(f"{metric}_lag_1") - F.col(f"{metric}_lag_2"), f"{metric}_diff_6": F.col(f"{metric}_lag_1") - F.col(f"{metric}_lag_7")})
+def predictions(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str = "prediction") -> DataFrame:
+    """Every row of ``df`` with its prediction; one that lacks a feature has none, and ``error`` says so."""
+    whole = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features])
+    scored = model.transform(df.where(whole)).select(*df.columns, out, F.lit(None).cast("string").alias("error"))
+    return scored.unionByName(df.where(~whole).withColumns({out: F.lit(None).cast("double"), "error": F.lit("a feature is missing")}))
+
+
+#: Rows that the features look back, and widths of rolling frames.
+LAGS, WIDTHS = (1, 2, 3, 5, 7, 14, 21, 30), (3, 7, 14, 30)
+
+
+def enhanced_features(df: DataFrame, spec: SeriesSpec, metric: str, others: Sequence[str] = (), weather: Mapping[str, str] | None = None, fill: bool = False, backward: bool = False, most_missing: float = 0.5) -> tuple[DataFrame, list[str]]:
+    """Calendar, cyclic, season, lag, rolling, difference and interaction features of rows before the target's.
+
+    Nothing on the target's own row takes part: rolling frames end one row earlier, differences are those of the lagged
+    values, and so are the interactions of ``weather`` (columns named by high, low, wind and precip). Features of which
+    ``most_missing`` or more is null are dropped. Rows with null features go or, with ``fill``, get the last known value
+    of their series (then the next one, which reads the future, if ``backward``), and the median where there is none.
+    """
+    named = dict(weather or {})
+    lagged = [metric, *[c for c in (*others, *named.values()) if c != metric]]
+    t = W.lags(df, spec, list(dict.fromkeys(lagged)), LAGS)
+    t = W.rolling(t, spec, [metric], WIDTHS, until=-1)
+    lag = {n: F.col(f"{metric}_lag_{n}") for n in LAGS}
+    t = t.withColumns({f"{metric}_diff_1": lag[1] - lag[2], f"{metric}_diff_6": lag[1] - lag[7], f"{metric}_pct_6": F.try_divide(lag[1], lag[7]) - 1})
+    if named:
+        t = t.withColumns(S.interactions(*[F.col(f"{named[k]}_lag_1") for k in ("high", "low", "wind", "precip")]))
     day = F.col(spec.time)
     cyc = {f"{n}_{w}": c for n, (v, p) in {"month": (F.month(day), 12), "doy": (F.dayofyear(day), 365.25), "week": (F.weekofyear(day), 52)}.items() for w, c in zip(("sin", "cos"), S.cyclic(v, p), strict=True)}
     t = t.withColumns(cyc | S.season_flags(day))
     made = [c for c in t.columns if c not in df.columns]
-    return t.dropna(subset=made), made
+    kept = clean.drop_sparse(t.select(*made), most_missing).columns
+    t = t.select(*df.columns, *kept)
+    if not fill:
+        return t.dropna(subset=kept), kept
+    t = clean.forward_backward_fill(t.dropna(subset=[metric]), spec, kept, backward)
+    return clean.median_impute(t, kept), kept
 
 
 class StepRegression:

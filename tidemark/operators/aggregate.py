@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec
+from .ranks import percentiles
 
 STATS = ("mean", "std", "min", "max")
 
@@ -65,7 +66,7 @@ def key_totals(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.groupBy(*spec.keys).agg(*[F.avg(m).alias(f"{m}_mean") for m in spec.metrics], F.count("*").alias("measurement_count"))
 
 
-def partition_distribution(df: DataFrame, partition: str, key: str, salt: int = 16) -> DataFrame:
+def partition_distribution(df: DataFrame, partition: str, key: str) -> DataFrame:
     """Rows, share and keys of each log partition. Keys are made distinct before they meet in one row."""
     pairs = df.groupBy(partition, key).agg(F.count("*").alias("n"))
     out = pairs.groupBy(partition).agg(F.sum("n").alias("messages"), F.count("*").alias("distinct_keys"))
@@ -88,11 +89,14 @@ def partition_balance(df: DataFrame, partition: str) -> DataFrame:
 
 
 def latency_percentiles(df: DataFrame, seconds: Column, by: Sequence[str], approximate: bool = False) -> DataFrame:
-    """p50, p95 and p99. The exact form keeps all distinct values of a group; the approximate one a bounded sketch."""
+    """p50, p95 and p99. The exact form counts values in ranges, the approximate one keeps a bounded sketch."""
     ps = (0.5, 0.95, 0.99)
     t = df.withColumn("_s", seconds)
-    cols = [(F.percentile_approx("_s", F.lit(p), F.lit(10_000)) if approximate else F.percentile("_s", F.lit(p))).alias(f"p{int(p * 100)}") for p in ps]
-    return t.groupBy(*by).agg(*cols, F.count("*").alias("n"))
+    if approximate:
+        return t.groupBy(*by).agg(*[F.percentile_approx("_s", F.lit(p), F.lit(10_000)).alias(f"p{int(p * 100)}") for p in ps], F.count("*").alias("n"))
+    exact = percentiles(t, ["_s"], ps, by).select(F.struct(*by).alias("_by"), *[F.col(f"p{i}").alias(f"p{int(p * 100)}") for i, p in enumerate(ps)])
+    counts = t.groupBy(*by).agg(F.count("*").alias("n")).withColumn("_by", F.struct(*by))
+    return counts.join(exact, "_by", "left").select(*by, *[f"p{int(p * 100)}" for p in ps], "n")
 
 
 def throughput(df: DataFrame, time: str, interval: str, seconds: float) -> DataFrame:
@@ -117,7 +121,3 @@ def loss_rate(sent: DataFrame, received: DataFrame, keys: Sequence[str]) -> Data
 def ingest_summary(df: DataFrame, key: str, file: str, time: str) -> DataFrame:
     pairs = df.groupBy(key, file).agg(F.count("*").alias("n"), F.min(time).alias("t0"), F.max(time).alias("t1"))
     return pairs.groupBy(key).agg(F.sum("n").alias("records"), F.count("*").alias("files"), F.min("t0").alias("first_date"), F.max("t1").alias("last_date"))
-
-
-def ranks_by_total(df: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

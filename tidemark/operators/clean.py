@@ -8,16 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec
+from .ranks import percentiles
 
 #: The constants that stand for missing readings.
 DEFAULTS = {"temperature": 0.0, "humidity": 0.0, "wind_speed": 0.0, "wind_direction": 0.0, "precipitation": 0.0, "pressure": 1013.25}
+#: The same under the names of raw observations, for frames that have not been renamed.
+RAW_DEFAULTS = {"precipitation_last_hour": DEFAULTS["precipitation"], "sea_level_pressure": DEFAULTS["pressure"]}
 
 
-def fill_constants(df: DataFrame, defaults: Mapping[str, float] = DEFAULTS, mode: str = "constant") -> DataFrame:
-    """``mode="skip"`` leaves nulls, so that means ignore them."""
+def fill_constants(df: DataFrame, defaults: Mapping[str, float] | None = None, mode: str = "constant", absent: str = "raise") -> DataFrame:
+    """``mode="skip"`` leaves nulls, so that means ignore them. Without ``defaults`` every reading that is there has its
+    own, under its raw name or ours; of given ones, each must name a column unless ``absent="ignore"``."""
     if mode not in ("constant", "skip"):
         raise ValueError(f"mode is constant or skip, not {mode}")
-    present = {c: v for c, v in defaults.items() if c in df.columns}
+    if absent not in ("raise", "ignore"):
+        raise ValueError(f"absent is raise or ignore, not {absent}")
+    unknown = sorted(set(defaults or ()) - set(df.columns))
+    if unknown and absent == "raise":
+        raise ValueError(f"no columns for the defaults of {unknown}")
+    present = {c: v for c, v in (DEFAULTS | RAW_DEFAULTS if defaults is None else defaults).items() if c in df.columns}
     return df.fillna(present) if mode == "constant" and present else df
 
 
@@ -26,10 +35,12 @@ def drop_null(df: DataFrame, critical: Sequence[str]) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), approximate: bool = False) -> DataFrame:
-    """One row, or one for each key. The approximate form keeps a bounded sketch in place of all values."""
-    agg = F.percentile_approx if approximate else None
-    cols = [(agg(c, F.lit(0.5), F.lit(10_000)) if agg else F.median(c)).alias(f"median_{c}") for c in columns]
-    return df.groupBy(*by).agg(*cols)
+    """One row, or one for each key with any value. Exact ones come from counts by value in ranges, so no task holds all
+    values of a key; the approximate form needs one pass and keeps a bounded sketch."""
+    if approximate:
+        return df.groupBy(*by).agg(*[F.percentile_approx(c, F.lit(0.5), F.lit(10_000)).alias(f"median_{c}") for c in columns])
+    long = percentiles(df, columns, [0.5], by)
+    return long.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col("p0"))).alias(f"median_{c}") for c in columns])
 
 
 def median_impute(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), approximate: bool = False) -> DataFrame:
@@ -92,8 +103,3 @@ def map_feature_set(have: Sequence[str], want: Sequence[str], fallback: Mapping[
             raise ValueError(f"no column for feature {w}")
         out[w] = found
     return out
-
-
-def dedup_readings(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """One row for each key and time: polls repeat readings."""
-    return df.dropDuplicates([*spec.keys, spec.time])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 EPSILON = 1e-6
 
 
@@ -43,6 +45,21 @@ def classification(df: DataFrame, actual: Column, predicted: Column, by: Sequenc
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
+def ranking(df: DataFrame, actual: Column, score: Column, by: Sequence[str] = ()) -> DataFrame:
+    """ROC AUC and average precision of a score against 0/1 labels, exact with ties; null without both classes.
+
+    Rows are counted by score first; running counts over ranges of the score do the rest. Null labels or scores don't count.
+    """
+    t = df.select(*by, actual.cast("int").alias("_a"), score.cast("double").alias("_s")).where("_a in (0, 1) and _s is not null")
+    counts = t.groupBy(*by, "_s").agg(F.sum("_a").alias("pos"), F.sum(1 - F.col("_a")).alias("neg"))
+    r = running(counts, by, "_s", ["pos", "neg"])
+    above = F.col("pos_all") - F.col("pos_before")
+    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
+    hits = F.sum(F.col("pos") * above / (above + F.col("neg_all") - F.col("neg_before")))
+    both = F.max("pos_all") * F.max("neg_all")
+    return r.groupBy(*by).agg(F.try_divide(wins, both).alias("roc_auc"), F.when(both > 0, F.try_divide(hits, F.max("pos_all"))).alias("average_precision"), F.max("pos_all").alias("positives"), F.max("neg_all").alias("negatives"))
+
+
 def error_histogram(df: DataFrame, width: float, actual: str = "y_true", predicted: str = "y_pred") -> DataFrame:
     bucket = F.floor((F.col(predicted) - F.col(actual)) / width)
     return df.groupBy(bucket.cast("long").alias("bucket")).agg(F.count("*").alias("n")).withColumn("lower", F.col("bucket") * width)

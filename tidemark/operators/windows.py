@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec
+from .align import small
+from .ranks import previous
 
 
 def _micros(time: str) -> Column:
@@ -89,17 +91,18 @@ def tiled(df: DataFrame, features: Sequence[str], lookback: int) -> DataFrame:
 
 def directional_accuracy(df: DataFrame, by: Sequence[str], order: Sequence[str], actual: str, predicted: str) -> DataFrame:
     """Percent of steps on which both rise or both don't; 0 for fewer than two rows."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    up = (F.col(actual) > F.lag(actual).over(w)) == (F.col(predicted) > F.lag(predicted).over(w))
-    return df.withColumn("_same", up.cast("double")).groupBy(*by).agg((F.coalesce(F.avg("_same"), F.lit(0.0)) * 100).alias("directional_accuracy"))
+    t = previous(df, by, order, [actual, predicted])
+    up = (F.col(actual) > F.col(f"{actual}_before")) == (F.col(predicted) > F.col(f"{predicted}_before"))
+    return t.withColumn("_same", up.cast("double")).groupBy(*by).agg((F.coalesce(F.avg("_same"), F.lit(0.0)) * 100).alias("directional_accuracy"))
 
 
 def chronological_split(df: DataFrame, spec: SeriesSpec, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """Each series in time order: floor(n * ratio) cut points, no shuffling."""
-    n = F.count("*").over(Window.partitionBy(*spec.keys))
+    sizes = df.groupBy(F.struct(*spec.keys).alias("_key")).agg(F.count("*").alias("_n"))
+    t = df.withColumn("_key", F.struct(*spec.keys)).join(small(sizes), "_key")
     i = F.row_number().over(spec.rows()) - 1
-    a, b = F.floor(n * F.lit(train)), F.floor(n * F.lit(train + validation))
-    return df.withColumn("split", F.when(i < a, "train").when(i < b, "val").otherwise("test"))
+    a, b = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(train + validation))
+    return t.withColumn("split", F.when(i < a, "train").when(i < b, "val").otherwise("test")).select(*df.columns, "split")
 
 
 def global_index(df: DataFrame, order: Sequence[str], parts: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:

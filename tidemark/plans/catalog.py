@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, cleaning, forecasts, joins, models, rows, streams  # noqa: F401  each registers its queries
+from . import aggregates, cleaning, files, forecasts, joins, models, rows, streams  # noqa: F401  each registers its queries
 from .base import ORACLES, QUERIES, Query
 
 

@@ -51,6 +51,15 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.classification(table(spark, sf_dir, "labels"), F.col("toxic"), 1 - F.col("quality")))
 
 
+@query("""WITH p AS (SELECT event_type, CAST(event_id % 3 = 0 AS INTEGER) AS y, round(value / 7) AS s FROM events), g AS (SELECT event_type, s, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY 1, 2),
+c AS (SELECT *, sum(pos) OVER w - pos AS pb, sum(neg) OVER w - neg AS nb, sum(pos) OVER k AS pa, sum(neg) OVER k AS na FROM g WINDOW w AS (PARTITION BY event_type ORDER BY s), k AS (PARTITION BY event_type))
+SELECT event_type, round(CAST(sum(pos * (nb + neg / 2.0e0)) AS DOUBLE) / (max(pa) * max(na)), 6) AS roc_auc, round(sum(CAST(pos * (pa - pb) AS DOUBLE) / (pa - pb + na - nb)) / max(pa), 6) AS average_precision, CAST(max(pa) AS BIGINT) AS positives, CAST(max(na) AS BIGINT) AS negatives FROM c GROUP BY 1""")
+def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score with many ties against labels, for each type."""
+    t = table(spark, sf_dir, "events")
+    return rounded(evaluate.ranking(t, F.col("event_id") % 3 == 0, F.round(F.col("value") / 7), ["event_type"]))
+
+
 @query("""SELECT event_type AS series, ts AS ds, value AS y FROM events WHERE event_id % 13 <> 0""")
 def forecast_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events").select(F.col("event_type").alias("series"), "ts", F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("v"))

@@ -72,7 +72,7 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed state in place of row windows. State of a key stays as long as the table spans."""
     first, last = table(spark, sf_dir, "events").agg(*[F.unix_millis(f("ts").cast("timestamp")) for f in (F.min, F.max)]).first()
     idle_ms = 86_400_000 + (0 if first is None else last - first)
-    out = _appended(spark, stateful.changes(as_readings(_events(spark, sf_dir)), "user_id", "ts", "temperature", idle_ms=idle_ms))
+    out = _appended(spark, stateful.changes(as_readings(_events(spark, sf_dir)), "user_id", "ts", "temperature", ties=("event_id",), idle_ms=idle_ms))
     return rounded(out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "temperature", "rate", "change"), ["rate", "change"])
 
 

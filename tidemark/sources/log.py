@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 #: The declared schema of raw observations.
 OBSERVATION = "station_id string, station_name string, timestamp string, temperature double, humidity double, wind_speed double, wind_direction double, sea_level_pressure double, precipitation_last_hour double"
 
@@ -18,6 +20,18 @@ def decode(raw: DataFrame, schema: str, carried: Sequence[str] = ("key", "timest
     return raw.select(*[F.col(c).alias(f"_{c}") for c in names], data.alias("_data")).select(*[F.col(f"_{c}").alias(c) for c in names], "_data.*")
 
 
+#: Raw names and those of ``spec.WEATHER``.
+RENAMED = {"sea_level_pressure": "pressure", "precipitation_last_hour": "precipitation"}
+
+
+def observations(raw: DataFrame, carried: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """Raw observations of a keyed log under the names of ``spec.WEATHER``, with their time parsed. Lines that don't parse
+    and rows without a station or a time go."""
+    t = decode(raw, OBSERVATION, carried, value)
+    t = t.withColumn("timestamp", S.any_iso_timestamp(F.col("timestamp"))).withColumnsRenamed(RENAMED)
+    return t.dropna(subset=["station_id", "timestamp"])
+
+
 def encode(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
     """key and value: the JSON of the columns, times as text, nulls left out."""
     names = list(columns or df.columns)
@@ -54,5 +68,3 @@ def read_stream(spark: SparkSession, path: str | None = None, schema: str | None
         return (reader.option("maxOffsetsPerTrigger", offsets_per_batch) if offsets_per_batch else reader).load()
     reader = spark.readStream.format(fmt).schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
-
-

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import aggregate, clean
 from ..sources import log
-from ..spec import SeriesSpec
+from ..spec import WEATHER, SeriesSpec
 
 LATE = "10 minutes"
 
@@ -31,6 +31,13 @@ def window_features(stream: DataFrame, spec: SeriesSpec, duration: str = "1 minu
     return aggregate.window_stats(clean.fill_constants(df, mode=fill), spec, duration, slide, **options)
 
 
+def weather_records(raw: DataFrame, duration: str = "1 minute", slide: str | None = None, late: str = LATE, fill: str = "constant", distinct: bool = False) -> DataFrame:
+    """From the raw topic to the feature topic: key and value of the statistics of each station and window."""
+    readings = log.observations(raw)
+    stats = window_features(readings, WEATHER, duration, slide, late, fill, distinct, direction="wind_direction", precipitation="precipitation")
+    return log.encode(stats, "station_id")
+
+
 def upsert_sink(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "update", trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
     """Every batch goes to ``write`` with its number. In update mode a window comes again whenever it has changed:
     the writer keeps the latest by key and window, and must not count a batch number twice."""

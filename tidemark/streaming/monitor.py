@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+import json
 from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
-SCHEMA = "query string, batch long, at string, input_rows long, rows_per_second double, batch_ms long, state_rows long, dropped_by_watermark long, watermark string"
+SCHEMA = "query string, batch long, at string, input_rows long, rows_per_second double, batch_ms long, state_rows long, dropped_by_watermark long, watermark string, behind long"
+
+
+def behind(source) -> int | None:
+    """Records of a source that the batch has left for later: what the source itself reports, else the difference of its
+    latest and its end offsets where both are counts by partition; None where neither is known."""
+    told = (source.metrics or {}).get("maxOffsetsBehindLatest")
+    if told is not None:
+        return int(float(told))
+    try:
+        latest, end = (json.loads(x) if isinstance(x, str) else x for x in (source.latestOffset, source.endOffset))
+        return sum(int(n) - int((end.get(topic) or {}).get(part, 0)) for topic, parts in latest.items() for part, n in parts.items())
+    except (AttributeError, TypeError, ValueError):
+        return None
 
 
 class ProgressMonitor(StreamingQueryListener):
@@ -22,7 +36,12 @@ class ProgressMonitor(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
         state = p.stateOperators or []
-        self.records.append((p.name, p.batchId, p.timestamp, p.numInputRows, float(p.inputRowsPerSecond or 0.0), p.batchDuration, sum(s.numRowsTotal for s in state), sum(s.numRowsDroppedByWatermark for s in state), (p.eventTime or {}).get("watermark")))
+        self.records.append((p.name, p.batchId, p.timestamp, p.numInputRows, float(p.inputRowsPerSecond or 0.0), p.batchDuration, sum(s.numRowsTotal for s in state), sum(s.numRowsDroppedByWatermark for s in state), (p.eventTime or {}).get("watermark"), self._behind(p)))
+
+    @staticmethod
+    def _behind(progress) -> int | None:
+        known = [b for b in map(behind, progress.sources or []) if b is not None]
+        return sum(known) if known else None
 
     def onQueryIdle(self, event) -> None:  # noqa: N802
         pass

@@ -1,13 +1,13 @@
 """Rate of change, trend and difference on a stream, where row windows are not allowed: keyed state does it.
 
 State of a key is its last values, no more than the trend looks back, and the time of the last row. Rows of a batch
-are sorted by time. A row older than the state is passed on with ``late_for_state`` and changes nothing. State of a
+are sorted by time and ``ties``. A row older than the state is passed on with ``late_for_state`` and changes nothing. State of a
 key that is silent for ``idle_ms`` of event time goes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def changes(stream: DataFrame, key: str, time: str, metric: str, k: int = 5, late: str = "10 minutes", idle_ms: int = 86_400_000) -> DataFrame:
+def changes(stream: DataFrame, key: str, time: str, metric: str, k: int = 5, ties: Sequence[str] = (), late: str = "10 minutes", idle_ms: int = 86_400_000) -> DataFrame:
     """key, time, metric, rate, trend, change, late_for_state: E1 to E3 of one metric, row by row."""
     key_type = stream.schema[key].dataType.simpleString()
     out = f"{key} {key_type}, {time} timestamp, {metric} double, rate double, trend long, change double, late_for_state boolean"
@@ -27,7 +27,7 @@ def changes(stream: DataFrame, key: str, time: str, metric: str, k: int = 5, lat
             state.remove()
             return
         values, means, last = ([], [], None) if not state.exists else (list(state.get[0]), list(state.get[1]), state.get[2])
-        t = pd.concat(list(batches)).sort_values(time, kind="stable")
+        t = pd.concat(list(batches)).sort_values([time, *ties], kind="stable")
         rows = []
         for at, v in zip(t[time], t[metric], strict=True):
             micros = int(at.value // 1000)
@@ -51,5 +51,5 @@ def changes(stream: DataFrame, key: str, time: str, metric: str, k: int = 5, lat
         state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(rows, columns=[key, time, metric, "rate", "trend", "change", "late_for_state"]).astype({"trend": "Int64"})
 
-    df = stream.select(key, F.col(time).cast("timestamp").alias(time), F.col(metric).cast("double").alias(metric)).withWatermark(time, late)
+    df = stream.select(key, F.col(time).cast("timestamp").alias(time), F.col(metric).cast("double").alias(metric), *[c for c in ties if c not in (key, time, metric)]).withWatermark(time, late)
     return df.groupBy(key).applyInPandasWithState(update, out, "values array<double>, means array<double>, last long", "append", GroupStateTimeout.EventTimeTimeout)
