@@ -196,14 +196,16 @@ def near_links(distinct: DataFrame, threshold: int = 3, subtree_rows: int = 16_3
             return local_stars(t["subtree"].to_numpy(), t["fp"].to_numpy().view(np.uint64), t["rep"].to_numpy(), threshold)
 
         for b in batches:
+            if not len(b):
+                continue
             held.append(b)
             rows += len(b)
-            if rows >= buffer_rows:
+            # Put together only once a subtree is complete: the batches of a large one are joined a single time.
+            if rows >= buffer_rows and held[0]["subtree"].iat[0] != b["subtree"].iat[-1]:
                 t = pd.concat(held)
                 last = t["subtree"].to_numpy()
-                cut = int(np.flatnonzero(last != last[-1])[-1]) + 1 if last[0] != last[-1] else 0
-                if cut:
-                    yield search(t.iloc[:cut])
+                cut = int(np.flatnonzero(last != last[-1])[-1]) + 1
+                yield search(t.iloc[:cut])
                 held = [t.iloc[cut:]]
                 rows = len(t) - cut
         if rows:
