@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import few, stored
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _ENCODINGS: dict[tuple[str, str], tiktoken.Encoding] = {}
@@ -107,16 +107,18 @@ def _encode_long(docs: DataFrame, path: str, pattern: str, chunk: int, overlap:
         for b in batches:
             ends = [own.ends(t) for t in b["text"]]
             at = b["k"].to_numpy() * chunk
-            yield b.assign(heads=[p[p < overlap] + a for p, a in zip(ends, at, strict=True)], tails=[p[p > chunk] + a for p, a in zip(ends, at, strict=True)])
+            heads, tails = ([p[near(p)] + a for p, a in zip(ends, at, strict=True)] for near in (lambda p: p < overlap, lambda p: p > chunk))
+            yield b[["row", "k"]].assign(heads=heads, tails=tails)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = stored(cut.repartition(n, "row", "k").mapInPandas(pretokenise, "row long, doc_id long, chunks int, k int, text string, heads array<long>, tails array<long>"), "chunks")
+    chunks = stored(cut.repartition(n, "row", "k"), "chunks")
     # Only the few places of a chunk meet in the order of their text, never the chunks themselves.
+    ends = chunks.select("row", "k", "text").mapInPandas(pretokenise, "row long, k int, heads array<long>, tails array<long>")
     in_order = Window.partitionBy("row").orderBy("k")
-    places = chunks.select("row", "k", "heads", "tails").withColumn("end", F.array_min(F.array_intersect("tails", F.lead("heads").over(in_order))))
+    places = stored(ends, "ends").withColumn("end", F.array_min(F.array_intersect("tails", F.lead("heads").over(in_order))))
     places = places.withColumn("begin", F.lag("end").over(in_order))
     places = places.withColumn("stretch", F.count("begin").over(in_order)).withColumn("alone", F.count("*").over(Window.partitionBy("row", "stretch")) == 1)
-    placed = stored(chunks.drop("heads", "tails").join(places.select("row", "k", "begin", "end", "stretch", "alone"), ["row", "k"]), "placed")
+    placed = chunks.join(few(stored(places.select("row", "k", "begin", "end", "stretch", "alone"), "places")), ["row", "k"])
     start, first = F.col("k") * chunk, F.coalesce("begin", F.col("k") * chunk)
     own = placed.withColumn("text", F.substring("text", (first - start + 1).cast("int"), F.coalesce(F.col("end") - first, F.when(F.col("k") < F.col("chunks") - 1, start + chunk - first).otherwise(F.char_length("text"))).cast("int")))
     alone = own.where("alone").select("row", "doc_id", "stretch", "text")

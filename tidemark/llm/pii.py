@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parted, stored
+from .common import few, parted, stored
 
 BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret"]
@@ -177,11 +177,6 @@ def confident_patterns(nodes: DataFrame, turns: int = 10, least: int = 5, dampin
     return confident
 
 
-def few(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """Marked for a broadcast if it has at most that many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
