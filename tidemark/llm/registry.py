@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, exact_dedup, license_scan, lm_score, packing, pii, quality, simhash, toxicity
+from . import byte_bpe, chat_format, collocations, embedding_dedup, exact_dedup, filter_audit, license_scan, lm_score, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -50,8 +50,20 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_format(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_quality, op4_pii, op5_packing, op6_byte_bpe, op7_license, op8_embedding_dedup, op9_toxicity, op10_lm_score)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_quality, op4_pii, op5_packing, op6_byte_bpe, op7_license, op8_embedding_dedup, op9_toxicity, op10_lm_score, op11_filter_audit, op12_collocations, op13_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -68,4 +80,7 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT vec_id, vec_id AS y FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON r.y = l.x),
             c AS (SELECT vec_id, min(y) AS component_id FROM r GROUP BY 1), n AS (SELECT x, count(*) AS n_links FROM l GROUP BY 1)
             SELECT c.vec_id, coalesce(n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.x = c.vec_id""",
+        "op11_filter_audit": filter_audit.SQL,
+        "op12_collocations": collocations.SQL,
+        "op13_chat_format": chat_format.SQL,
     }
