@@ -1,7 +1,8 @@
 """Row windows over series: changes, trends, lags, rolling statistics, sequences, splits.
 
 Every function takes one SeriesSpec, so that all windows of a call share one exchange and one sort. A series that is
-too long for one task goes through ``in_slices`` first, which cuts it by time and copies the rows a window looks back.
+too long for one task goes through ``ranges.by_rows``, which cuts it by range and copies as many rows as a window looks
+back or ahead, or through ``in_slices``, which does so by time.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def tiled(df: DataFrame, features: Sequence[str], lookback: int) -> DataFrame:
 
 def directional_accuracy(df: DataFrame, by: Sequence[str], order: Sequence[str], actual: str, predicted: str) -> DataFrame:
     """Percent of steps on which both rise or both don't; 0 for fewer than two rows."""
-    t = previous(df, by, order, [actual, predicted])
+    t = previous(df.select(*dict.fromkeys([*by, *order, actual, predicted])), by, order, [actual, predicted])
     up = (F.col(actual) > F.col(f"{actual}_before")) == (F.col(predicted) > F.col(f"{predicted}_before"))
     return t.withColumn("_same", up.cast("double")).groupBy(*by).agg((F.coalesce(F.avg("_same"), F.lit(0.0)) * 100).alias("directional_accuracy"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, clean, serving
+from ..operators import anomaly, clean, ranges, serving
 from ..operators import windows as W
 from ..spec import SeriesSpec
 from .base import BY_USER, R, query, readings, rounded, table
@@ -154,3 +154,62 @@ def daily_order_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("total"))
     gaps = daily.withColumns({"total": F.when(F.dayofyear("day") % 10 >= 2, F.col("total")), "year": F.year("day")})
     return rounded(clean.forward_backward_fill(gaps, SeriesSpec(("year",), "day"), ["total"]).select("day", "total"), places=2)
+
+
+#: All events as one series.
+WHOLE = SeriesSpec((), "ts", ("event_id",), ("temperature", "humidity"))
+
+
+def _whole(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return readings(spark, sf_dir).select("event_id", "ts", *columns)
+
+
+@query(R + """SELECT event_id, round(avg(temperature) OVER f, 6) AS roll_mean, round(stddev_samp(temperature) OVER f, 6) AS roll_std, min(temperature) OVER f AS roll_min, max(temperature) OVER f AS roll_max,
+  lag(temperature, 7) OVER w AS lag_7, round(temperature - lag(temperature) OVER w, 6) AS diff_1, round(coalesce((temperature - lag(temperature) OVER w) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 0), 0), 6) + 0e0 AS rate
+  FROM r WINDOW w AS (ORDER BY ts, event_id), f AS (ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""")
+def whole_series_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling statistics, lags and changes of one long series, cut into ranges with the last 30 rows before each."""
+
+    def features(df: DataFrame, s: SeriesSpec) -> DataFrame:
+        df = W.rolling(df, s, ["temperature"], [30])
+        df = W.diff_and_pct(W.lags(df, s, ["temperature"], [7]), s, "temperature", [1])
+        return W.rate_of_change(df, s, ["temperature"])
+
+    t = ranges.by_rows(_whole(spark, sf_dir, "temperature"), WHOLE, 30, 0, features)
+    names = {"temperature_roll_30_mean": "roll_mean", "temperature_roll_30_std": "roll_std", "temperature_roll_30_min": "roll_min", "temperature_roll_30_max": "roll_max", "temperature_lag_7": "lag_7", "temperature_diff_1": "diff_1", "temperature_rate": "rate"}
+    return rounded(t.select("event_id", *[F.col(a).alias(b) for a, b in names.items()]), ["roll_mean", "roll_std", "diff_1", "rate"])
+
+
+@query(R + """, t AS (SELECT event_id, list(printf('%.2f,%.2f', temperature, humidity)) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS x,
+  list(printf('%.2f', temperature)) OVER (ORDER BY ts, event_id ROWS BETWEEN 7 FOLLOWING AND 9 FOLLOWING) AS y FROM r) SELECT event_id, array_to_string(x, ',') AS x, array_to_string(y, ',') AS y FROM t WHERE len(x) = 7 AND len(y) = 3""")
+def whole_series_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training samples that reach over the borders of ranges."""
+    t = ranges.by_rows(_whole(spark, sf_dir, "temperature", "humidity"), WHOLE, 0, 9, lambda df, s: W.sequences(df, s, ["temperature", "humidity"], "temperature", 7, 3))
+    return t.select("event_id", _joined("x").alias("x"), _joined("y").alias("y"))
+
+
+@query(R + """, t AS (SELECT event_id, ts, wind_speed AS w, CASE WHEN event_id % 97 = 0 THEN pressure END AS p FROM r)
+SELECT event_id, coalesce(last_value(w IGNORE NULLS) OVER b, first_value(w IGNORE NULLS) OVER a) AS wind_speed, coalesce(last_value(p IGNORE NULLS) OVER b, first_value(p IGNORE NULLS) OVER a) AS pressure
+FROM t WINDOW b AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
+def whole_series_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of one long series, some of them longer than a range."""
+    t = readings(spark, sf_dir).select("event_id", "ts", "wind_speed", F.when(F.col("event_id") % 97 == 0, F.col("pressure")).alias("pressure"))
+    return ranges.fill(t, WHOLE, ["wind_speed", "pressure"]).drop("ts")
+
+
+@query(R + """, t AS (SELECT event_id, station, temperature, count(temperature) OVER w AS n, avg(temperature) OVER w AS mu, stddev_samp(temperature) OVER w AS sd FROM r WINDOW w AS (PARTITION BY station ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, CASE WHEN n >= 5 THEN coalesce(abs(temperature - mu) / nullif(sd, 0), 0) ELSE 0 END AS score FROM t)
+SELECT event_id, station, round(score, 6) AS score, score > 3 AS is_anomaly FROM s""")
+def long_series_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five long series: z-scores against the 20 rows before, by range."""
+    spec = SeriesSpec(("station",), "ts", ("event_id",))
+    t = readings(spark, sf_dir).select("event_id", "station", "ts", "temperature")
+    return rounded(ranges.by_rows(t, spec, 20, 0, lambda df, s: anomaly.zscore(df, s, "temperature")).select("event_id", "station", "score", "is_anomaly"))
+
+
+@query(R + """, m AS (SELECT event_id, station, ts, avg(temperature) OVER (PARTITION BY station ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS a FROM r), l AS (SELECT *, lag(a, 5) OVER (PARTITION BY station ORDER BY ts, event_id) AS b FROM m)
+SELECT event_id, station, CAST(CASE WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS BIGINT) AS temperature_trend FROM l""")
+def long_series_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = SeriesSpec(("station",), "ts", ("event_id",))
+    t = readings(spark, sf_dir).select("event_id", "station", "ts", "temperature")
+    return ranges.by_rows(t, spec, 10, 0, lambda df, s: W.trend(df, s, "temperature", 5)).select("event_id", "station", "temperature_trend")

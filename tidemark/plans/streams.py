@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.shared import new_path
-from ..streaming import accuracy, features, stateful
+from ..streaming import accuracy, features, ordered, stateful
 from .aggregates import STATS_SQL
 from .base import BY_STATION, R, as_readings, query, rounded, table
 from .rows import WIN
@@ -18,8 +18,12 @@ from .rows import WIN
 def _replay(spark: SparkSession, sf_dir: str) -> str:
     """The table as files in order of event time, however its own files lie: no row is late, for the watermark or the
     state of a key. The source takes the oldest files first, so the files' times are set to follow their ranges."""
+    return _replayed(spark, table(spark, sf_dir, "events"))
+
+
+def _replayed(spark: SparkSession, events: DataFrame) -> str:
     path = new_path(spark, "replay")
-    table(spark, sf_dir, "events").repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(path)
+    events.repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     parts = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: (len(p.getName()), p.getName()))
@@ -39,6 +43,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, sf_dir, _replay(spark, sf_dir))
 
 
+def _span_ms(spark: SparkSession, sf_dir: str) -> int:
+    """More milliseconds than any silence in the table."""
+    first, last = table(spark, sf_dir, "events").agg(*[F.unix_millis(f("ts").cast("timestamp")) for f in (F.min, F.max)]).first()
+    return 2 * 86_400_000 + (0 if first is None else last - first)
+
+
 def _finished(q: StreamingQuery) -> None:
     try:
         q.awaitTermination()
@@ -70,9 +80,7 @@ def stream_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(R + f"""SELECT user_id, ts, temperature, round(coalesce((temperature - lag(temperature) OVER w) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 0), 0), 6) + 0e0 AS rate, round(temperature - lag(temperature) OVER w, 6) + 0e0 AS change FROM r WINDOW w AS {WIN}""")
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed state in place of row windows. State of a key stays as long as the table spans."""
-    first, last = table(spark, sf_dir, "events").agg(*[F.unix_millis(f("ts").cast("timestamp")) for f in (F.min, F.max)]).first()
-    idle_ms = 86_400_000 + (0 if first is None else last - first)
-    out = _appended(spark, stateful.changes(as_readings(_events(spark, sf_dir)), "user_id", "ts", "temperature", ties=("event_id",), idle_ms=idle_ms))
+    out = _appended(spark, stateful.changes(as_readings(_events(spark, sf_dir)), "user_id", "ts", "temperature", ties=("event_id",), idle_ms=_span_ms(spark, sf_dir)))
     return rounded(out.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "temperature", "rate", "change"), ["rate", "change"])
 
 
@@ -95,3 +103,42 @@ def stream_online_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _appended(spark, accuracy.matched(p, a, "user_id"))
     m = accuracy.running_metrics(pairs, "user_id", "1 day")
     return rounded(m.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+
+
+def _with_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replayed table, and a last row of no user, a day later: it moves the watermark past all others."""
+    events = table(spark, sf_dir, "events")
+    last = events.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).where("ts is not null")
+    return _stream(spark, sf_dir, _replayed(spark, events.unionByName(last, allowMissingColumns=True))).withColumn("user_id", F.coalesce("user_id", F.lit(HEARTBEAT)))
+
+
+#: No user has it.
+HEARTBEAT = -(2**62)
+
+
+def _ordered(spark: SparkSession, df: DataFrame) -> DataFrame:
+    with ordered.rocksdb(spark):
+        out = _appended(spark, df).where(F.col("user_id") != HEARTBEAT)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(R + f""", m AS (SELECT *, avg(temperature) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS a FROM r), l AS (SELECT *, lag(a, 5) OVER {WIN} AS b FROM m)
+SELECT event_id, user_id, ts, round(coalesce((temperature - lag(temperature) OVER w) / nullif((epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6, 0), 0), 6) + 0e0 AS rate, CAST(CASE WHEN a > b THEN 1 WHEN a < b THEN -1 ELSE 0 END AS BIGINT) AS trend,
+  round(temperature - lag(temperature) OVER w, 6) + 0e0 AS change FROM l WINDOW w AS {WIN}""")
+def stream_ordered_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows wait for the watermark and come out in order, with rate, trend and change."""
+    out = ordered.ordered_changes(as_readings(_with_heartbeat(spark, sf_dir)), "user_id", "ts", "temperature", ties=("event_id",), idle_ms=_span_ms(spark, sf_dir))
+    return rounded(_ordered(spark, out).drop("temperature"), ["rate", "change"])
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT event_id, user_id, ts, value, i, 1 AS n, value AS total, value - value - 2e0 AS m, least(0e0, value - value - 2e0) AS low, false AS drifted, 0e0 AS statistic FROM e WHERE i = 1
+  UNION ALL SELECT event_id, user_id, ts, value, i, n, total, m, least(low, m), m - least(low, m) > 150 AND n >= 10, m - least(low, m) FROM
+    (SELECT *, before + value - total / n - 2e0 AS m FROM
+      (SELECT e.event_id, e.user_id, e.ts, e.value, e.i, CASE WHEN drifted THEN 1 ELSE n + 1 END AS n, CASE WHEN drifted THEN 0e0 ELSE total END + e.value AS total, CASE WHEN drifted THEN 0e0 ELSE m END AS before, CASE WHEN drifted THEN 0e0 ELSE low END AS low
+       FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)))
+SELECT event_id, user_id, ts, round(statistic, 6) + 0e0 AS statistic, drifted FROM s""")
+def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page-Hinkley over each user's values as they come."""
+    out = ordered.page_hinkley(_with_heartbeat(spark, sf_dir), "user_id", "ts", "value", 2.0, 150.0, 10, ties=("event_id",), idle_ms=_span_ms(spark, sf_dir))
+    return rounded(_ordered(spark, out).drop("value"), ["statistic"])
