@@ -160,9 +160,9 @@ def emit_stripes(docs: DataFrame, frequent: np.ndarray, very: np.ndarray, own: d
             ids[:2] = 0
             known = np.unique(np.r_[np.zeros(1, dtype=np.int64), ids])
             zero = np.searchsorted(known, 0)
-            small = np.searchsorted(known, ids)
+            small = np.searchsorted(known, ids).astype(np.int32)
             hot = np.isin(known, very)
-            x = np.r_[small[at], zero, zero]
+            x = np.r_[small[at], np.full(2, zero, dtype=np.int32)]
             there = (x[:-2] != zero) & (x[1:-1] != zero)
             a, b, c, n = _counted(x[:-2][there], x[1:-1][there], x[2:][there], len(known))
             nexts = known[c]
@@ -179,8 +179,13 @@ def _counted(a: np.ndarray, b: np.ndarray, c: np.ndarray, below: int) -> tuple[n
     """The combinations of three numbers in order, and how often each is there."""
     width = below.bit_length()
     if 3 * width <= 63:
-        keys, n = np.unique((a << (2 * width)) | (b << width) | c, return_counts=True)
-        low = (1 << width) - 1
+        keys = a.astype(np.int64)
+        for x in (b, c):
+            keys <<= width
+            keys |= x
+        keys.sort()
+        at = _starts(keys)
+        n, keys, low = np.diff(np.r_[at, len(keys)]), keys[at], (1 << width) - 1
         return keys >> (2 * width), (keys >> width) & low, keys & low, n
     by = np.lexsort((c, b, a))
     a, b, c = a[by], b[by], c[by]
