@@ -64,18 +64,19 @@ def state_rows(spark, folder, name):
 def test_state_ends_by_timer_and_late_rows_are_dropped(spark, tmp_path):
     write(spark, tmp_path / "in", [("a", 0, 1, 1.0), ("a", 60, 2, 2.0)], 1)
     write(spark, tmp_path / "in", [("b", 3000, 3, 5.0)], 2)
-    write(spark, tmp_path / "in", [("a", 30, 4, 99.0), ("b", 3001, 5, 6.0)], 3)  # older than the watermark
+    write(spark, tmp_path / "in", [("b", 3001, 5, 6.0)], 3)
+    write(spark, tmp_path / "in", [("a", 30, 4, 99.0)], 4)  # older than the watermark of the batch before
     df = ordered.ordered_changes(stream(spark, tmp_path / "in"), "k", "t", "v", ties=["i"], idle_ms=3_600_000)
     q, got = finished(spark, df, tmp_path)
     assert {r["i"] for r in got.collect()} == {1, 2}
     assert sum(s.numRowsDroppedByWatermark for p in q.recentProgress for s in p.stateOperators) == 1
     with ordered.rocksdb(spark):
         assert state_rows(spark, tmp_path, "last") == 1  # a; b still waits
-    write(spark, tmp_path / "in", [("b", 6000, 6, 7.0)], 4)  # the last row of a is 99 minutes old
+    write(spark, tmp_path / "in", [("b", 6000, 6, 7.0)], 5)  # the last row of a is 99 minutes old
     finished(spark, df, tmp_path)
     with ordered.rocksdb(spark):
         assert state_rows(spark, tmp_path, "last") == 1  # b; a is gone
-    write(spark, tmp_path / "in", [("a", 6100, 7, 9.0), END], 5)
+    write(spark, tmp_path / "in", [("a", 6100, 7, 9.0), END], 6)
     _, got = finished(spark, df, tmp_path)
     assert {r["i"]: r["change"] for r in got.where("k = 'a'").collect()} == {1: None, 2: 1.0, 7: None}
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegralType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegralType, LongType, StructField, StructType
 
 State = tuple[Any, ...] | None
 Step = Callable[[State, pd.DataFrame], tuple[tuple[Any, ...], pd.DataFrame]]
@@ -52,17 +52,15 @@ class _InOrder(StatefulProcessor):
         self.last = handle.getValueState("last", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
-        most = None
+        oldest = None
         for batch in rows:
             own = batch[self.waiting_schema.names].astype(object)
             own = own.where(own.notna(), None)
-            for c in self.whole:
-                own.loc[batch[f"{c}_missing"].to_numpy(dtype=bool), c] = None
             self.waiting.appendList([tuple(r) for r in own.itertuples(index=False)])
-            newest = int(batch[MICROS].max()) // 1000
-            most = newest if most is None else max(most, newest)
-        if most is not None:
-            self.handle.registerTimer(most + 1)
+            least = int(batch[MICROS].min())
+            oldest = least if oldest is None else min(oldest, least)
+        if oldest is not None:
+            self.handle.registerTimer(oldest // 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -71,8 +69,15 @@ class _InOrder(StatefulProcessor):
         due = [r for r in rows if r[0] < mark * 1000]
         if due:
             rest = [r for r in rows if r[0] >= mark * 1000]
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            frame = pd.DataFrame(due, columns=self.waiting_schema.names).sort_values(self.order, kind="stable", na_position="first", ignore_index=True)
+            if rest:
+                self.waiting.put(rest)
+                self.handle.registerTimer(min(r[0] for r in rest) // 1000 + 1)
+            else:
+                self.waiting.clear()
+            frame = pd.DataFrame(due, columns=self.waiting_schema.names)
+            for c in self.whole:
+                frame[c] = frame[c].astype("Int64").mask(frame.pop(f"{c}_missing").astype(bool))
+            frame = frame.sort_values(self.order, kind="stable", na_position="first", ignore_index=True)
             state, out = self.step(self.state.get() if self.state.exists() else None, frame)
             self.state.update(state)
             last = int(frame[MICROS].iloc[-1]) // 1000
@@ -99,12 +104,12 @@ def in_order(stream: DataFrame, key: str, time: str, columns: Sequence[str], ste
     df = stream.select(F.col(key).alias(KEY), F.col(time).cast("timestamp").alias(TIME), *kept).where(f"{TIME} is not null").withWatermark(TIME, late)
     df = df.withColumn(MICROS, F.unix_micros(TIME))
     fields = {f.name: f for f in df.schema.fields}
-    # A null among whole numbers would make them floating-point numbers in pandas.
+    # A null among whole numbers would make them floating-point numbers on the way to the operator and to its state.
     whole = [c for c in kept if isinstance(fields[c].dataType, IntegralType)]
     df = df.withColumns({f"{c}_missing": F.col(c).isNull() for c in whole}).withColumns({c: F.coalesce(c, F.lit(0).cast(fields[c].dataType)) for c in whole})
-    waiting = StructType([StructField(MICROS, LongType()), *[fields[c] for c in kept]])
+    waiting = StructType([StructField(MICROS, LongType()), *[fields[c] for c in kept], *[StructField(f"{c}_missing", BooleanType()) for c in whole]])
     added = StructType.fromDDL(made)
-    out = StructType([fields[KEY], *waiting.fields, *added.fields])
+    out = StructType([fields[KEY], waiting.fields[0], *[fields[c] for c in kept], *added.fields])
     names = [f.name for f in out.fields[1:]]
     t = df.groupBy(KEY).transformWithStateInPandas(_InOrder(waiting, whole, [MICROS, *ties], step, state, idle_ms, names), out, "Append", "EventTime")
     return t.select(F.col(KEY).alias(key), F.timestamp_micros(MICROS).alias(time), *kept, *[f.name for f in added.fields])
