@@ -1,12 +1,10 @@
-"""Forecasters on Spark: boosted trees, direct multi-step regression, seasonal ridge for each series."""
+"""Forecasters on Spark: boosted trees, direct multi-step regression, and builders of all kinds by name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -18,6 +16,7 @@ from ..functions import scalars as S
 from ..operators import clean
 from ..operators import windows as W
 from ..spec import SeriesSpec
+from .seasonal import Seasonality, forecast
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -118,44 +117,9 @@ def fine_tuned(base: StepRegression, old: DataFrame, new: DataFrame, weight: flo
     return StepRegression(base.lookback, base.horizon, base.estimator).fit(both, "w")
 
 
-def seasonal(df: DataFrame, keys: Sequence[str], horizon: int, yearly: int = 6, weekly: int = 3, changepoints: int = 10, ridge: float = 1.0, multiplicative: bool = False, longest: int = 200_000) -> DataFrame:
-    """df: keys, ds date, y. A trend with hinges plus Fourier terms, fitted for each series by ridge regression.
-
-    Returns keys, ds, y (null ahead of the data) and yhat for history and horizon. A series is one group of one task;
-    ``longest`` daily rows are five centuries, beyond which this raises.
-    """
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def design(days: np.ndarray, start: int, span: int) -> np.ndarray:
-        t = (days - start) / max(1, span)
-        cols = [np.ones_like(t), t, *[np.maximum(0, t - c) for c in np.linspace(0, 0.8, changepoints + 1)[1:]]]
-        cols += [f(2 * np.pi * k * days / 365.25) for k in range(1, yearly + 1) for f in (np.sin, np.cos)]
-        cols += [f(2 * np.pi * k * days / 7) for k in range(1, weekly + 1) for f in (np.sin, np.cos)]
-        return np.stack(cols, axis=1)
-
-    def fit(t: pd.DataFrame) -> pd.DataFrame:
-        if len(t) > longest:
-            raise ValueError(f"a series of {len(t)} rows; at most {longest}")
-        t = t.sort_values("ds")
-        days = pd.to_datetime(t["ds"]).to_numpy().astype("datetime64[D]").astype(np.int64).astype(float)
-        y = t["y"].to_numpy(dtype=float)
-        z = np.log(np.maximum(y, 1e-9)) if multiplicative else y
-        start, span = days[0], days[-1] - days[0]
-        x = design(days, start, span)
-        penalty = ridge * np.eye(x.shape[1])
-        penalty[:2, :2] = 0
-        beta = np.linalg.lstsq(x.T @ x + penalty, x.T @ z, rcond=None)[0]
-        ahead = days[-1] + np.arange(1, horizon + 1)
-        everything = np.r_[days, ahead]
-        hat = design(everything, start, span) @ beta
-        out = pd.DataFrame({k: [t[k].iloc[0]] * len(everything) for k in keys})
-        out["ds"] = everything.astype(np.int64).astype("datetime64[D]").astype("datetime64[ns]")
-        out["ds"] = out["ds"].dt.date
-        out["y"] = np.r_[y, np.full(horizon, np.nan)]
-        out["yhat"] = np.exp(hat) if multiplicative else hat
-        return out
-
-    return df.select(*keys, "ds", F.col("y").cast("double").alias("y")).dropna(subset=["ds", "y"]).groupBy(*keys).applyInPandas(fit, f"{types}, ds date, y double, yhat double")
+def seasonal(df: DataFrame, keys: Sequence[str], horizon: int, ridge: float = 1.0, hinge_ridge: float | None = None, **options) -> DataFrame:
+    """df: keys, ds date, y. ``seasonal.forecast`` with ``Seasonality`` by its options."""
+    return forecast(df, keys, horizon, Seasonality(ridge=ridge, hinge_ridge=ridge if hinge_ridge is None else hinge_ridge, **options))
 
 
 #: Builders by name.

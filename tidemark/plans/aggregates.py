@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..operators import sketches
 from ..sources import log
+from ..sources.shared import stored
 from ..spec import SeriesSpec
 from .base import BY_STATION, R, query, r, readings, rounded, table
 
@@ -100,6 +102,24 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.latency_percentiles(table(spark, sf_dir, "events"), seconds, ["event_type"]))
 
 
+def _merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by type and day, written, and merged over all days."""
+    daily = sketches.window_sketches(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", "1 day")
+    return sketches.merged(stored(daily), ["event_type"])
+
+
+@query("""SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1""")
+def sketch_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sketches keep exactly."""
+    return sketches.summary(_merged_sketches(spark, sf_dir), ["event_type"], [], [])
+
+
+@query()
+def sketch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within the rank error of the sketch."""
+    return sketches.summary(_merged_sketches(spark, sf_dir), ["event_type"], [0.5, 0.95, 0.99], ["p50", "p95", "p99"])
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS interval_start, count(*) AS messages, round(count(*) / 3600.0e0, 6) AS per_second FROM events GROUP BY 1""")
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.throughput(table(spark, sf_dir, "events"), "ts", "1 hour", 3600.0))

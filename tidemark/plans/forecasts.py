@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..forecast import models
+from ..forecast import models, seasonal
 from ..operators import evaluate
 from ..operators import windows as W
 from ..sources.shared import stored
@@ -55,4 +55,10 @@ def fine_tuned_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def seasonal_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History and thirty days ahead of each series."""
-    return rounded(models.seasonal(_daily(spark, sf_dir), ["o_orderpriority"], 30), ["yhat"], 2)
+    return rounded(models.seasonal(_daily(spark, sf_dir), ["o_orderpriority"], 30), ["yhat", "yhat_lower", "yhat_upper"], 2)
+
+
+@query()
+def seasonal_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the last tenth of each series, fitted on the first eight, and the share its intervals cover."""
+    return rounded(seasonal.held_out_errors(_daily(spark, sf_dir), ["o_orderpriority"]), places=3)
