@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,3 +77,29 @@ def standardise(df: DataFrame, columns: Sequence[str], train: Column) -> DataFra
     fit = df.where(train).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
     joined = df.crossJoin(F.broadcast(fit))  # one row
     return joined.withColumns({f"{c}_z": F.coalesce(F.try_divide(F.col(c) - F.col(f"mu_{c}"), F.col(f"sd_{c}")), F.lit(0.0)) for c in columns}).drop(*[f"{n}_{c}" for c in columns for n in ("mu", "sd")])
+
+
+def scalers(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each column; 0 and 1 where nothing is known, deviation 1 of a constant."""
+    got = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in (("mu", F.avg), ("sd", F.stddev_pop))]).first()
+    return {c: (got[f"mu_{c}"] or 0.0, got[f"sd_{c}"] or 1.0) for c in columns}
+
+
+def scaled(df: DataFrame, by: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """The columns in place, less their mean and over their deviation."""
+    return df.withColumns({c: (F.col(c) - F.lit(mu)) / F.lit(sd) for c, (mu, sd) in by.items()})
+
+
+def _back(mu: float, sd: float, v: Column) -> Column:
+    return v * F.lit(sd) + F.lit(mu)
+
+
+def unscaled(df: DataFrame, by: Mapping[str, tuple[float, float]], names: Mapping[str, str] | None = None) -> DataFrame:
+    """The way back. ``names``: columns that are in the units of another one, such as a prediction in those of its target;
+    arrays are scaled back element by element."""
+    out = {}
+    for column, of in (names or {c: c for c in by}).items():
+        mu, sd = by[of]
+        array = df.schema[column].dataType.simpleString().startswith("array")
+        out[column] = F.transform(column, partial(_back, mu, sd)) if array else _back(mu, sd, F.col(column))
+    return df.withColumns(out)

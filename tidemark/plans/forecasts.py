@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..forecast import models, seasonal
+from ..forecast.recurrent import Recurrent
 from ..operators import evaluate
 from ..operators import windows as W
 from ..sources.shared import stored
@@ -62,3 +63,31 @@ def seasonal_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seasonal_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of the last tenth of each series, fitted on the first eight, and the share its intervals cover."""
     return rounded(seasonal.held_out_errors(_daily(spark, sf_dir), ["o_orderpriority"]), places=3)
+
+
+def _errors(samples: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, df in samples.items():
+        e = df.select(F.lit(name).alias("model_name"), F.posexplode(F.arrays_zip("y", "predictions")).alias("step", "z"))
+        out = e if out is None else out.unionByName(e)
+    return rounded(evaluate.comparison(out.select("model_name", F.col("z.y").alias("y_true"), F.col("z.predictions").alias("y_pred"))), places=3)
+
+
+@query()
+def recurrent_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors on the last 15 % of a recurrent forecaster of all series but one, of that one before and after tuning on its
+    own rows, which come under another name."""
+    m = Recurrent(("y",), "y", 7, 3, hidden=6)
+    split = stored(W.chronological_split(_daily(spark, sf_dir), DAILY))
+    new = F.col("o_orderpriority").startswith("1")
+    train = split.where("split = 'train'")
+    base = m.scaled_by(train.where(~new))
+    base = base.fit(stored(base.frame(train.where(~new), DAILY).select("x", "y")), 25)
+    own = train.where(new).withColumnRenamed("y", "value")
+    tuned = base.tuned(own, DAILY, {"y": "value"}, 8)
+    test = split.where("split = 'test'")
+    return _errors({
+        "others": base.transform(base.frame(test.where(~new), DAILY)),
+        "base": base.transform(base.frame(test.where(new), DAILY)),
+        "tuned": tuned.transform(tuned.frame(test.where(new).withColumnRenamed("y", "value"), DAILY)),
+    })

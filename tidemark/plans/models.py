@@ -88,3 +88,15 @@ def prediction_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = F.from_json("value", "window_start string, horizon_hours long, current_conditions struct<temperature_mean:double>, forecast struct<temperature_predictions:array<double>>")
     got = json.select(F.col("key").alias("station_id"), back.alias("p"))
     return rounded(got.select("station_id", "p.window_start", "p.horizon_hours", F.col("p.current_conditions.temperature_mean").alias("current_mean"), F.col("p.forecast.temperature_predictions")[0].alias("first_prediction"), F.size("p.forecast.temperature_predictions").cast("long").alias("n_predictions")), places=4)
+
+
+@query("""WITH f AS (SELECT avg(value) AS mu, stddev_pop(value) AS sd FROM events WHERE event_id % 10 < 7)
+SELECT event_id, round((value - mu) / sd, 6) + 0e0 AS scaled, round(value, 6) AS back, round(value * 2, 6) AS prediction_back FROM events, f""")
+def standardize_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalers of the training rows, all rows scaled by them and scaled back, and a prediction in the target's units."""
+    t = table(spark, sf_dir, "events").select("event_id", "value")
+    by = evaluate.scalers(t.where("event_id % 10 < 7"), ["value"])
+    mu, sd = by["value"]
+    z = evaluate.scaled(t, by).withColumns({"scaled": F.col("value"), "prediction": F.col("value") * 2 + mu / sd})
+    out = evaluate.unscaled(z, by, {"value": "value", "prediction": "value"})
+    return rounded(out.select("event_id", (F.round("scaled", 6) + 0.0).alias("scaled"), F.col("value").alias("back"), F.col("prediction").alias("prediction_back")))
