@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, clean, ranges, serving
+from ..operators import anomaly, clean, isolation, ranges, serving
 from ..operators import windows as W
 from ..spec import SeriesSpec
 from .base import BY_USER, R, query, readings, rounded, table
@@ -213,3 +213,10 @@ def long_series_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = SeriesSpec(("station",), "ts", ("event_id",))
     t = readings(spark, sf_dir).select("event_id", "station", "ts", "temperature")
     return ranges.by_rows(t, spec, 10, 0, lambda df, s: W.trend(df, s, "temperature", 5)).select("event_id", "station", "temperature_trend")
+
+
+@query()
+def anomaly_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events by three metrics together."""
+    t = readings(spark, sf_dir).select("event_id", "temperature", "humidity", "precipitation")
+    return rounded(isolation.scores(t, "event_id", ["temperature", "humidity", "precipitation"]).select("event_id", "isolation"))
