@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import log_files
 from ..sources.shared import new_path
 from ..streaming import accuracy, features, ordered, stateful
 from .aggregates import STATS_SQL
@@ -142,3 +143,18 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-Hinkley over each user's values as they come."""
     out = ordered.page_hinkley(_with_heartbeat(spark, sf_dir), "user_id", "ts", "value", 2.0, 150.0, 10, ties=("event_id",), idle_ms=_span_ms(spark, sf_dir))
     return rounded(_ordered(spark, out).drop("value"), ["statistic"])
+
+
+@query("""SELECT event_id, user_id, event_type, value FROM events""")
+def log_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table through a partitioned log with offsets: written in two goes, read by a stream that is stopped in between."""
+    log_files.register(spark)
+    path, out = new_path(spark, "log"), new_path(spark, "stream")
+    events = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "user_id", "event_type", "value"), {"ignoreNullFields": "false"}).alias("value"))
+    odd = F.coalesce(F.col("event_id") % 2, F.lit(0)) == 1
+    for half in (odd, ~odd):
+        events.where(half).select("value").write.format("tidemark_log").option("path", path).option("segmentRecords", "20000").mode("append").save()
+        s = spark.readStream.format("tidemark_log").option("path", path).load()
+        _finished(features.file_sink(s, f"{out}/data", f"{out}/checkpoint"))
+    rows = spark.read.schema(log_files.SCHEMA).parquet(f"{out}/data")
+    return rows.select(F.from_json("value", "event_id long, user_id long, event_type string, value double").alias("e")).select("e.*")
