@@ -16,7 +16,9 @@ from ..functions import scalars as S
 from ..operators import clean
 from ..operators import windows as W
 from ..spec import SeriesSpec
+from .recurrent import Recurrent
 from .seasonal import Seasonality, forecast
+from .trees import Boosted
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -123,7 +125,7 @@ def seasonal(df: DataFrame, keys: Sequence[str], horizon: int, ridge: float = 1.
 
 
 #: Builders by name.
-BUILDERS: dict[str, Callable] = {"boosted": boosted, "steps": StepRegression, "seasonal": seasonal}
+BUILDERS: dict[str, Callable] = {"boosted": boosted, "steps": StepRegression, "seasonal": seasonal, "penalised": Boosted, "recurrent": Recurrent}
 
 
 def build(name: str, *args, **kwargs):

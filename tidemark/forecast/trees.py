@@ -163,7 +163,8 @@ class Boosted:
                 tree.value[node] = leaf(total_g, total_h, self.l1, self.l2) if total_h else 0.0
                 left_g, left_h = np.cumsum(g[i], axis=1)[:, :-1], np.cumsum(h[i], axis=1)[:, :-1]
                 right_g, right_h = total_g - left_g, total_h - left_h
-                better = gain(left_g, left_h, self.l1, self.l2) + gain(right_g, right_h, self.l1, self.l2) - gain(total_g, total_h, self.l1, self.l2)
+                with np.errstate(invalid="ignore", divide="ignore"):  # sides without rows, which are left out below
+                    better = gain(left_g, left_h, self.l1, self.l2) + gain(right_g, right_h, self.l1, self.l2) - gain(total_g, total_h, self.l1, self.l2)
                 better[(left_h < self.least) | (right_h < self.least)] = -np.inf
                 f, cut = np.unravel_index(np.argmax(better), better.shape)
                 if better[f, cut] <= 1e-9:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..forecast import scoring
+from ..forecast import models, scoring
+from ..operators import clean
 from ..sources import archive, history, log
 from ..sources.shared import new_path, stored
 from ..streaming import features
@@ -115,3 +117,49 @@ def score_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.stop()
     done = spark.read.schema(out.schema).parquet(f"{root}/data")
     return rounded(done.select("event_id", F.try_element_at("predictions", F.lit(1)).alias("first_step"), "error"))
+
+
+@query("""SELECT event_type || '/' || (event_id % 2) AS station_name, event_id % 2 AS chunk_index, event_id, value FROM events""")
+def chunk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one object each, with metadata and records."""
+    path = new_path(spark, "chunks")
+    e = table(spark, sf_dir, "events").withColumn("chunk_index", F.col("event_id") % 2)
+    record = F.struct(F.col("event_id").cast("string").alias("id"), F.col("value").cast("string").alias("v"))
+    chunks = e.groupBy("event_type", "chunk_index").agg(F.collect_list(record).alias("records"), F.count("*").alias("record_count"))
+    name = F.concat_ws("/", "event_type", F.col("chunk_index").cast("string"))
+    body = F.struct(F.struct(name.alias("station_name"), "record_count", "chunk_index").alias("metadata"), "records")
+    chunks.select(F.to_json(body).alias("value"), F.concat_ws("-", "event_type", "chunk_index").alias("file")).repartition("file").write.partitionBy("file").text(path)
+    t = history.climate_chunks(spark, path)
+    return t.select("station_name", "chunk_index", F.col("record.id").cast("long").alias("event_id"), F.col("record.v").cast("double").alias("value"))
+
+
+@query("""WITH p AS (SELECT event_id, ts, value, i FROM events, (SELECT unnest([0, 1]) AS i))
+SELECT event_id, CAST(date_trunc('hour', ts) + i * INTERVAL 1 HOUR AS TIMESTAMP) AS start, value + i AS temperature, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 100 AS DOUBLE) END AS humidity,
+  CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 40 AS DOUBLE) END AS wind_speed, CASE WHEN event_id % 5 = 0 THEN 30e0 ELSE 0e0 END AS precipitation_probability FROM p""")
+def payload_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly periods of a forecast service, one row each."""
+    i = F.col("event_id")
+
+    def period(hour: int) -> F.Column:
+        return F.struct(
+            F.date_format(F.date_trunc("hour", "ts") + F.expr(f"interval {hour} hour"), RAW_TIME).alias("startTime"),
+            (F.col("value") + hour).alias("temperature"),
+            F.struct(F.when(i % 4 != 0, (i % 100).cast("double")).alias("value")).alias("relativeHumidity"),
+            F.when(i % 3 != 0, F.concat((i % 40).cast("string"), F.lit(" mph"))).alias("windSpeed"),
+            F.lit("NW").alias("windDirection"),
+            F.struct(F.when(i % 5 == 0, 30.0).alias("value")).alias("probabilityOfPrecipitation"),
+        )
+
+    raw = table(spark, sf_dir, "events").select(i.cast("string").alias("who"), F.to_json(F.array(period(0), period(1))).alias("payload"))
+    t = history.forecast_periods(raw, "payload", "who")
+    return t.select(F.col("station_id").cast("long").alias("event_id"), F.col("start").cast("timestamp_ntz").alias("start"), "temperature", "humidity", "wind_speed", "precipitation_probability")
+
+
+@query(R + """SELECT event_id, printf('%.4f,%.4f,%.4f', humidity, precipitation, temperature) AS features FROM r WHERE humidity IS NOT NULL AND precipitation IS NOT NULL AND temperature IS NOT NULL""")
+def mapped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features under the names a model wants, by stand-ins where they have others, as vectors in a fixed order."""
+    have = readings(spark, sf_dir).withColumnsRenamed({"temperature": "temp_avg", "precipitation": "rain"})
+    names = clean.map_feature_set(have.columns, ["temperature", "precipitation", "humidity"], {"temperature": ["temp_mean", "temp_avg"], "precipitation": ["rain"]})
+    named = have.select("event_id", *[F.col(b).alias(a) for a, b in names.items()])
+    vectors = models.assembler(list(names)).transform(named).withColumn("v", vector_to_array("features"))
+    return vectors.select("event_id", F.array_join(F.transform("v", lambda x: F.format_string("%.4f", x)), ",").alias("features"))

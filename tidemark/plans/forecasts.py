@@ -91,3 +91,12 @@ def recurrent_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base": base.transform(base.frame(test.where(new), DAILY)),
         "tuned": tuned.transform(tuned.frame(test.where(new).withColumnRenamed("y", "value"), DAILY)),
     })
+
+
+@query()
+def penalised_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``boosted_forecast`` with penalised leaves, stopped by the validation days."""
+    frame, made = models.enhanced_features(_daily(spark, sf_dir), DAILY, "y")
+    split = stored(W.chronological_split(frame, DAILY).withColumn("check", F.col("split") == "val"))
+    m = models.build("penalised", made, trees=8, depth=3, rate=0.2, l1=1.0, l2=5.0, bins=32, patience=3).fit(split.where("split <> 'test'"), "y", "check")
+    return rounded(evaluate.regression(m.transform(split), ["split"], "y", "prediction"), places=3)

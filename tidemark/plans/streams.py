@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import time
 
+from pyspark.ml import Pipeline
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import log_files
+from ..forecast import models, registry
+from ..sources import archive, log_files
 from ..sources.shared import new_path
-from ..streaming import accuracy, features, ordered, stateful
+from ..streaming import accuracy, features, monitor, ordered, stateful
 from .aggregates import STATS_SQL
-from .base import BY_STATION, R, as_readings, query, rounded, table
+from .base import BY_STATION, R, as_readings, query, readings, rounded, table
 from .rows import WIN
 
 
@@ -158,3 +161,65 @@ def log_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
         _finished(features.file_sink(s, f"{out}/data", f"{out}/checkpoint"))
     rows = spark.read.schema(log_files.SCHEMA).parquet(f"{out}/data")
     return rows.select(F.from_json("value", "event_id long, user_id long, event_type string, value double").alias("e")).select("e.*")
+
+
+@query("""WITH m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS cut FROM events) SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS n FROM events, m WHERE ts > cut GROUP BY 1""")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half of the table in two runs of a stream, then the earlier half, which is older than the watermark."""
+    events, root = table(spark, sf_dir, "events").select("event_id", "ts"), new_path(spark, "late")
+    m = events.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("cut"))
+    t = events.crossJoin(F.broadcast(m))  # one row
+    later, odd = F.col("ts") > F.col("cut"), F.col("event_id") % 2 == 1
+    for rows in (later & odd, later & ~odd, ~later):
+        t.where(rows).drop("cut").write.mode("append").parquet(f"{root}/in")
+        s = features.event_time(spark.readStream.schema(events.schema).parquet(f"{root}/in"), "ts").withWatermark("ts", features.LATE)
+        counts = s.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
+        _finished(features.upsert_sink(counts, f"{root}/checkpoint", lambda b, n: b.write.mode("overwrite").parquet(f"{root}/out/version={n}")))
+    last = features.latest_versions(spark.read.parquet(f"{root}/out").select(F.col("w.start").alias("window_start"), "n", "version"), ["window_start"], "version")
+    return last.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query("""SELECT count(*) AS input_rows, CAST(0 AS BIGINT) AS dropped_by_watermark, true AS told_by_a_later_driver FROM events""")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a monitor has kept of a query, read from its files."""
+    path, name = new_path(spark, "progress"), "progress_of_events"
+    watch = monitor.ProgressMonitor(path=path)
+    spark.streams.addListener(watch)
+    try:
+        out = new_path(spark, "stream")
+        df = features.dedup(_events(spark, sf_dir), type(BY_STATION)(("event_id",), "ts"))
+        q = df.writeStream.format("parquet").queryName(name).option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+        _finished(q)
+        until = time.monotonic() + 60
+        rows = table(spark, sf_dir, "events").count()
+        while sum(r[3] for r in list(watch.records) if r[0] == name) < rows and time.monotonic() < until:
+            time.sleep(0.2)  # records come after the batch
+    finally:
+        spark.streams.removeListener(watch)
+    kept = monitor.ProgressMonitor.history(spark, path).where(F.col("query") == name)
+    return monitor.lag(kept).select("input_rows", "dropped_by_watermark", (F.col("batches") > 0).alias("told_by_a_later_driver"))
+
+
+@query("""WITH a AS (SELECT event_type AS station, count(*) AS archived FROM events GROUP BY 1) SELECT station, archived, CAST(archived AS BIGINT) AS in_windows FROM a""")
+def archive_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log feeds the archive and the features, each with a checkpoint of its own."""
+    root, path = new_path(spark, "fan"), _replay(spark, sf_dir)
+    rows = as_readings(_stream(spark, sf_dir, path))
+    kept = archive.with_partitions(rows.select(F.col("station").alias("station_id"), F.col("ts").cast("string").alias("timestamp"), "temperature"), name="station_id")
+    _finished(archive.write_archive(kept, f"{root}/archive", f"{root}/archive-checkpoint"))
+    windows = _updated(spark, features.window_features(as_readings(_stream(spark, sf_dir, path)), BY_STATION, "1 hour", fill="skip"), ["station", "window_start", "window_end"])
+    counted = windows.groupBy("station").agg(F.sum("measurement_count").alias("in_windows"))
+    return archive.read_archive(spark, f"{root}/archive").groupBy("station").agg(F.count("*").alias("archived")).join(counted, "station")
+
+
+@query("""WITH m AS (SELECT regr_slope(value, k) AS b, regr_intercept(value, k) AS a FROM (SELECT value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))
+SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN round(a + b * CAST(json_extract_string(props, '$.k') AS DOUBLE), 4) END AS prediction, CASE WHEN event_id % 13 = 0 THEN 'a feature is missing' END AS error FROM events, m""")
+def stream_trained_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model is fitted on the table, kept in the registry, taken from there by its name, and scores the table as a stream."""
+    root = new_path(spark, "models")
+    t = readings(spark, sf_dir)
+    fit = Pipeline(stages=[models.assembler(["humidity"]), LinearRegression(labelCol="temperature", solver="normal")]).fit(t.select("humidity", "temperature"))
+    registry.save(spark, root, "line", "1", fit, ["humidity"], {"r2": float(fit.stages[-1].summary.r2)})
+    found, about = registry.latest(spark, root, "line")
+    s = as_readings(_events(spark, sf_dir)).select("event_id", F.when(F.col("event_id") % 13 != 0, F.col("humidity")).alias("humidity"))
+    return rounded(_appended(spark, models.predictions(found, s, about["features"])).select("event_id", "prediction", "error"), places=4)
