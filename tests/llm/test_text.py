@@ -314,6 +314,30 @@ def test_lm_filter_keeps_every_level_in_small_parts(spark):
     assert (lm_score.build_filter(df, most_bits=1 << 12).levels(key) >= lm_score.level_of(n)).all()
 
 
+def test_lm_score_does_not_depend_on_partitions_or_on_how_rows_are_dealt(spark, documents):
+    docs = documents.select("doc_id", "text")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions, dealt in ((1, docs), (8, docs.repartition(5)), (64, docs.repartition(13, "text"))):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            seen.append(sorted((r["doc_id"], r["score"], r["base_score"]) for r in lm_score.scored(dealt).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_lm_filter_is_the_same_in_any_parts():
+    rng = np.random.default_rng(9)
+    key = np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64) >> np.uint64(12))  # 256 shards
+    n, asked = rng.integers(1, 50, len(key)), rng.integers(0, 2**52, 20_000, dtype=np.uint64)
+    whole = lm_score.LogFilter(key, n)
+    cut = np.searchsorted(key, np.uint64(100) << lm_score.SHARD_SHIFT)
+    low, high = lm_score.LogFilter(key[:cut], n[:cut]), lm_score.LogFilter(key[cut:], n[cut:])
+    mine = asked >> lm_score.SHARD_SHIFT < 100
+    assert np.array_equal(whole.found(asked), np.where(mine, low.found(asked), high.found(asked)))
+    assert np.array_equal(whole.found(key), np.r_[low.found(key[:cut]), high.found(key[cut:])]) and (whole.found(asked) > 0).any()
+
+
 def test_lm_score_knows_pairs_seen_once(spark):
     train, held = ([i for i in range(200) if (crc(i, 7) == 2) == out] for out in (False, True))
     texts = [f"a{i} b{i} c{i}" for i in range(len(train))]

@@ -3,8 +3,8 @@
 Documents are packed into slabs of some megabytes of text. A slab hashes its words and word pairs, makes them distinct
 and sends them, with their training counts, to the segments that the first bits of the hashes name. A segment adds the
 counts up and builds its own part of the filter: a count c becomes the level 1 + floor(log2 c), and an n-gram enters
-once for each level from 1 to its own, so the first probe tells seen once from unseen. The part has as many bits as its entries need. The
-segment then probes it for every n-gram that it was asked for, level after level until one is missing, and sends a byte
+once for each level from 1 to its own, so the first probe tells seen once from unseen. The part is made of shards, and a
+shard has as many bits as its entries need, so that the filter is a function of the n-grams alone. The segment then probes it for every n-gram that it was asked for, level after level until one is missing, and sends a byte
 a piece back to the slab, which takes the middle of the last level as the count; pair and word probabilities are
 interpolated. No part of the filter leaves its task, and there are more segments when there are more shuffle
 partitions, so every level is there at every size.
@@ -33,6 +33,8 @@ from .common import remainder, stored
 END = np.uint64(xxhash.xxh64_intdigest(b" end "))  # no word holds a space
 PROBES = 4
 LEAST = 1  # level
+SHARD = 20
+SHARD_SHIFT = np.uint64(64 - SHARD)
 
 
 def token_hashes(text: str | bytes | None) -> np.ndarray:
@@ -63,30 +65,42 @@ def level_of(n: np.ndarray) -> np.ndarray:
 
 
 class LogFilter:
-    """A part of the filter, from its n-grams and their counts; a byte holds a bit while the part is in use."""
+    """A part of the filter, from its n-grams and their counts; a byte holds a bit while the part is in use.
+
+    The first SHARD bits of a hash name its shard, and a shard has as many bits as its own entries need. Where an entry
+    stands thus depends on the n-grams of its shard alone, not on how many shards a part holds or on how the corpus is
+    dealt, and so do false answers.
+    """
 
     def __init__(self, key: np.ndarray, n: np.ndarray, bits_per_entry: int = 10):
         top = level_of(n)
-        entries = int(np.maximum(top - LEAST + 1, 0).sum())
-        self.bits = np.uint64(max(64, entries * bits_per_entry))
-        self.held = np.zeros(int(self.bits), dtype=bool)
+        entries = np.maximum(top - LEAST + 1, 0)
+        self.shards, at = np.unique(key >> SHARD_SHIFT, return_inverse=True)
+        self.size = np.maximum(64, np.bincount(at, entries, len(self.shards)).astype(np.int64) * bits_per_entry).astype(np.uint64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bits = int(self.size.sum())
+        self.held = np.zeros(self.bits, dtype=bool)
         for level in range(LEAST, int(top.max(initial=0)) + 1):
-            for at in self.places(key[top >= level], level):
-                self.held[at] = True
+            for place in self.places(key[top >= level], at[top >= level], level):
+                self.held[place] = True
 
-    def places(self, key: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    def places(self, key: np.ndarray, shard: np.ndarray, level: int) -> Iterator[np.ndarray]:
         h = mixed(key + np.uint64(level * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
         step = (h >> np.uint64(32)) | np.uint64(1)
+        start, size = self.start[shard], self.size[shard]
         for probe in range(PROBES):
-            yield (h + np.uint64(probe) * step) % self.bits
+            yield start + (h + np.uint64(probe) * step) % size
 
     def found(self, key: np.ndarray) -> np.ndarray:
         """The highest level without a gap below it, from repeated probes; ``LEAST - 1`` if there is none."""
         out = np.full(len(key), LEAST - 1, dtype=np.int64)
-        left, level = np.arange(len(key)), LEAST
+        shard = np.searchsorted(self.shards, key >> SHARD_SHIFT)
+        known = shard < len(self.shards)
+        known[known] = self.shards[shard[known]] == key[known] >> SHARD_SHIFT
+        left, level = np.flatnonzero(known), LEAST
         while len(left):
             hit = np.ones(len(left), dtype=bool)
-            for at in self.places(key[left], level):
+            for at in self.places(key[left], shard[left], level):
                 hit &= self.held[at]
             left = left[hit]
             out[left] = level
@@ -240,7 +254,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     packed = stored(slabs(base), "slabs")
     # Some segments for each partition, so that partitions fill evenly, and more where the corpus is large, so that a
     # segment has the n-grams of about four slabs at most.
-    segments = 1 << (max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), packed.count() // 4) - 1).bit_length()
+    # Their number never changes a result: a segment holds whole shards of the filter.
+    segments = min(1 << SHARD, 1 << (max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), packed.count() // 4) - 1).bit_length())
     answers = stored(answered(asked(packed, segments), bits_per_entry), "answers")
     total, distinct, again = answers.where("slab is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "again")]).first()
     if weight is None:
