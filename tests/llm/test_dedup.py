@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -138,3 +139,44 @@ def size_of(file):
     from urllib.parse import urlparse
 
     return os.path.getsize(urlparse(file).path)
+
+
+def codes_frame(spark, codes):
+    return spark.createDataFrame([(int(np.array(c, dtype=np.uint64).view(np.int64)), i) for i, c in enumerate(codes)], "fp long, rep long")
+
+
+@pytest.mark.parametrize("shared,rows", [(32, 64), (52, 16), (0, 8), (58, 2)])
+def test_hot_subtrees_are_split_until_they_fit_and_lose_no_pair(spark, shared, rows):
+    """Codes that share their upper bits, where other bits are nearly always the same too."""
+    rng = np.random.default_rng(shared)
+    low = rng.integers(0, 1 << (64 - shared) if shared else 2**63, 900, dtype=np.uint64)
+    rare = rng.random(900) < 0.9
+    low[rare] &= np.uint64(0xFFFF_FFFF_FFFF_F0F3)
+    codes = np.unique(low | np.uint64(0xABCDEF0123456789 >> (64 - shared) << (64 - shared) if shared else 0))
+    dealt = simhash.routed(codes_frame(spark, codes), 3, rows)
+    got = dealt.toPandas()
+    assert got.groupby("subtree").size().max() <= max(rows, 8)
+    met = set()
+    for _, own in got.groupby("subtree"):
+        reps = own["rep"].to_numpy()
+        f = own["fp"].to_numpy().view(np.uint64)
+        a, b = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3)
+        met |= {(int(reps[i]), int(reps[j])) for i, j in zip(a, b, strict=True) if reps[i] < reps[j]}
+    near = {(i, int(j)) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 3) if j > i}
+    assert near <= met and len(near) > 0 or shared == 0
+    want = brute_components(list(enumerate(codes.tolist())), 3)
+    linked = {r["node"]: r["component"] for r in common.components(simhash.near_links(codes_frame(spark, codes), 3, subtree_rows=rows, buffer_rows=50)).collect()}
+    assert {i: linked.get(i, i) for i in want} == want
+
+
+def test_a_hundred_thousand_codes_with_32_bits_in_common(spark):
+    codes = spark.range(100_000).select((F.lit(0x1234567 << 32) + (F.xxhash64("id").bitwiseAND(0xFFFFFFFF))).alias("fp")).distinct().withColumn("rep", F.col("fp"))
+    sizes = simhash.routed(codes, 3, 16_384).groupBy("subtree").count().agg(F.max("count"), F.sum("count")).first()
+    assert sizes[0] <= 16_384 and sizes[1] <= 12 * 100_000
+
+
+def test_blocks_share_the_free_bits():
+    free = np.array([0, 0b1011, 2**64 - 1], dtype=np.uint64)
+    masks = simhash.block_masks(free, 4)
+    assert masks[0].tolist() == [0] * 4 and masks[2].tolist() == [0xFFFF << 16 * k for k in range(4)]
+    assert np.bitwise_or.reduce(masks, axis=1).tolist() == free.tolist() and np.bitwise_count(masks).sum(axis=1).tolist() == [0, 3, 64]

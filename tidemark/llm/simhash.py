@@ -7,7 +7,7 @@ bits are shared but for so few that nothing below can exceed the threshold is li
 
 Spark deals the index out. Two fingerprints that differ in at most t bits agree on one of t + 1 blocks of bits, so
 every fingerprint goes to t + 1 subtrees, whose root fixes the bits of one block. A subtree of over ``subtree_rows``
-codes is dealt out once more by blocks of its other bits. Subtrees return a spanning star of each local component,
+codes is dealt out again by blocks of the bits that differ in it, until none is larger. Subtrees return a spanning star of each local component,
 never pairs; ``components`` joins the stars.
 
 Defined results: null and blank texts have fingerprint zero and link with each other. Fewer than ``words`` words
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, without
+from .common import components, few, stored, without
 
 FANOUT = 8
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -159,30 +159,51 @@ def _blocks(width: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
 
 
+SPLIT = "parent long, block int, v long, fp long, rep long"
+
+
+def block_masks(free: np.ndarray, parts: int) -> np.ndarray:
+    """For each mask of free bits, masks of ``parts`` blocks that share its bits evenly."""
+    masks, back = np.unique(free, return_inverse=True)
+    out = np.zeros((len(masks), parts), dtype=np.uint64)
+    for i, m in enumerate(masks.tolist()):
+        places = [k for k in range(64) if m >> k & 1]
+        for b, (first, width) in enumerate(_blocks(len(places), parts)):
+            out[i, b] = sum(1 << k for k in places[first : first + width])
+    return out[back]
+
+
 def routed(distinct: DataFrame, threshold: int, subtree_rows: int) -> DataFrame:
-    """distinct: fp, rep. Rows (subtree, fp, rep): every pair within the threshold meets in a subtree."""
-    blocks = _blocks(64, threshold + 1)
-
-    def bits(first: int, width: int):
-        return F.expr(f"shiftrightunsigned(fp, {first}) & {(1 << width) - 1}L")
-
-    once = distinct.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), bits(*b).alias("v")) for i, b in enumerate(blocks)])).alias("k")).select("fp", "rep", "k.block", "k.v")
-    hot = stored(once.groupBy("block", "v").agg(F.count("*").alias("n")).where(F.col("n") > subtree_rows).select("block", "v"), "hot")
-    name = F.xxhash64("block", "v")
-    if hot.isEmpty():
-        return once.select(name.alias("subtree"), "fp", "rep")
-    hot = hot.withColumn("hot", F.lit(True))
-    marked = once.join(hot, ["block", "v"], "left")
-    cold = marked.where("hot is null").select(name.alias("subtree"), "fp", "rep")
-    deeper = []
-    for i, (first, width) in enumerate(blocks):
-        others = [(j, b) for j, b in enumerate(_blocks(64 - width, threshold + 1))]
-        rest = F.expr(f"(shiftrightunsigned(fp, {first + width}) << {first}) | (fp & {(1 << first) - 1}L)") if 0 < first and first + width < 64 else F.expr(f"shiftrightunsigned(fp, {width})") if first == 0 else F.expr(f"fp & {(1 << first) - 1}L")
-        part = marked.where((F.col("hot")) & (F.col("block") == i)).withColumn("rest", rest)
-        deeper.append(part.select("fp", "rep", "block", "v", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.expr(f"shiftrightunsigned(rest, {f}) & {(1 << w) - 1}L").alias("u")) for j, (f, w) in others])).alias("k")).select(F.xxhash64("block", "v", "k.j", "k.u").alias("subtree"), "fp", "rep"))
-    for d in deeper:
-        cold = cold.unionByName(d)
-    return cold
+    """distinct: fp, rep. Rows (subtree, fp, rep): every pair within the threshold meets in a subtree, and no subtree has
+    more than ``subtree_rows`` rows (2 ** threshold at least).
+
+    A subtree fixes one of ``threshold + 1`` blocks of the 64 bits. One that is too large is split again by blocks of
+    those bits that still differ among its codes, which leaves at most three quarters of them to differ. As codes are
+    distinct, fewer than log2(subtree_rows) such bits cannot make a subtree too large, so a few rounds are enough.
+    """
+    parts = threshold + 1
+    most = max(subtree_rows, 1 << threshold)
+    once = F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned(fp, {first}) & {(1 << width) - 1}L").alias("v")) for i, (first, width) in enumerate(_blocks(64, parts))])
+    rows = distinct.select("fp", "rep", F.explode(once).alias("k")).select(F.xxhash64("k.block", "k.v").alias("subtree"), "fp", "rep")
+    settled = None
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = b["fp"].to_numpy()
+            masks = block_masks((b["all"].to_numpy() ^ b["any"].to_numpy()).view(np.uint64), parts)
+            for k in range(parts):
+                yield pd.DataFrame({"parent": b["subtree"], "block": np.int32(k), "v": fp & masks[:, k].view(np.int64), "fp": fp, "rep": b["rep"]})
+
+    while True:
+        sizes = rows.groupBy("subtree").agg(F.count("*").alias("n"), F.bit_and("fp").alias("all"), F.bit_or("fp").alias("any"))
+        hot = stored(sizes.where(F.col("n") > most).drop("n"), "hot")
+        if hot.isEmpty():
+            return rows if settled is None else settled.unionByName(rows)
+        large = few(hot)
+        cold = rows.join(large.select("subtree"), "subtree", "left_anti")
+        settled = cold if settled is None else settled.unionByName(cold)
+        parted_rows = rows.join(large, "subtree").mapInPandas(split, SPLIT)
+        rows = stored(parted_rows.select(F.xxhash64("parent", "block", "v").alias("subtree"), "fp", "rep"), "subtrees")
 
 
 def near_links(distinct: DataFrame, threshold: int = 3, subtree_rows: int = 16_384, buffer_rows: int = 200_000) -> DataFrame:
