@@ -117,7 +117,7 @@ def test_asof_equals_brute_force_with_ties(spark, parts, tolerance):
             seen.add((r[0], r[1]))
     lf = spark.createDataFrame(left, "k string, t int, i int").repartition(4)
     rf = spark.createDataFrame(unique, "k string, t int, tie int, v double").repartition(3)
-    got = align.asof_latest(lf, rf, ["k"], "t", ["v"], ["tie"], tolerance, parts)
+    got = align.asof_latest(lf, rf, ["k"], "t", ["v"], "i", ["tie"], tolerance, parts)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(left, unique, tolerance)
 
 
@@ -129,7 +129,7 @@ def test_asof_gives_one_answer_for_any_order_of_rows(spark, parts):
     for order in (values, values[::-1], sorted(values, key=lambda r: -r[2] % 7)):
         right = spark.createDataFrame(order, "k int, t int, v double")
         answers.add(align.asof_latest(left, right, ["k"], "t", ["v"], parts=parts).first()["v"])
-        assert align.asof_latest(left, right, ["k"], "t", ["v"], ["v"], parts=parts).first()["v"] == 19.0
+        assert align.asof_latest(left, right, ["k"], "t", ["v"], right_ties=["v"], parts=parts).first()["v"] == 19.0
     assert len(answers) == 1
 
 

@@ -43,7 +43,7 @@ def lookup(df: DataFrame, dim: DataFrame, key: str, defaults: dict[str, object])
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 
-def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], right_ties: Sequence[str] = (), tolerance: str | float | None = None, parts: int | None = None) -> DataFrame:
+def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, values: Sequence[str], ties: str | None = None, right_ties: Sequence[str] = (), tolerance: str | float | None = None, parts: int | None = None) -> DataFrame:
     """Each left row with the values of the last right row at or before its time.
 
     Both sides are put into one series, right before left at equal times, and the last known value is carried on: no
@@ -52,7 +52,8 @@ def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: st
     or a number, leaves out right rows that are older than that. A null time or key matches nothing. Left columns keep
     their names, and no value may have one of them.
 
-    Without ``parts``, rows are shuffled once, by key, and a key is one task. With it, both sides are dealt into that
+    ``ties``, a column that tells left rows of one time apart, is what such rows are dealt by; without it all their plain
+    columns are. It changes no result. Without ``parts``, rows are shuffled once, by key, and a key is one task. With it, both sides are dealt into that
     many ranges of key and time, and one row a range carries the last right row over the border: for few or hot keys.
     """
     if clash := set(left.columns) & set(values):
@@ -63,7 +64,7 @@ def asof_latest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: st
     known = right.dropna(subset=[time, *keys])
     value = F.struct(F.col(time).alias("_time"), *values)
     r = known.select(*of, F.col(time).alias("_t"), F.lit(0).alias("_side"), *[F.col(c).alias(a) for c, a in zip(right_ties, place, strict=True)], F.xxhash64(*values).alias("_salt"), value.alias("_v"))
-    plain = [c for c, kind in left.dtypes if not kind.startswith(("map", "struct", "array", "variant"))]
+    plain = [ties] if ties else [c for c, kind in left.dtypes if not kind.startswith(("map", "struct", "array", "variant"))]
     rows = left.select(*of, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.xxhash64(*plain).alias("_salt"), F.struct(*left.columns).alias("_row"))
     both = rows.unionByName(r, allowMissingColumns=True)
     order = ["_t", "_side", *place, "_salt"]

@@ -58,7 +58,7 @@ def asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = e.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("last_value"))
-    return align.asof_latest(left, right, ["user_id"], "ts", ["last_value"])
+    return align.asof_latest(left, right, ["user_id"], "ts", ["last_value"], "event_id")
 
 
 @query("""WITH l AS (SELECT event_id, date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'purchase'), v AS (SELECT date_trunc('hour', ts) AS hour, arg_max(value, event_id) AS last_value, max(event_id) AS last_event FROM events WHERE event_type = 'view' GROUP BY 1)
@@ -69,7 +69,7 @@ def asof_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = e.where("event_type = 'purchase'").select("event_id", "hour")
     right = e.where("event_type = 'view'").select("hour", F.col("value").alias("last_value"), F.col("event_id").alias("last_event"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return align.asof_latest(left, right, [], "hour", ["last_value", "last_event"], ["last_event"], "2 hours", parts).drop("hour")
+    return align.asof_latest(left, right, [], "hour", ["last_value", "last_event"], "event_id", ["last_event"], "2 hours", parts).drop("hour")
 
 
 @query("""SELECT (SELECT count(DISTINCT user_id) FROM events WHERE event_type IN ('view', 'click')) AS stations, (SELECT count(*) FROM events WHERE event_type = 'click') AS predictions, (SELECT count(*) FROM events WHERE event_type = 'click' AND value > 100) AS anomalies""")
