@@ -372,6 +372,8 @@ def turns_template() -> Template:
     return Template(TURNS, CONTROLS, ENDS)
 
 
+#: Characters that a task puts together before it hands them on.
+BATCH_CHARS = 1 << 20
 SEGMENTS = "conv_id long, segment long, text string, spans array<struct<start: int, end: int>>"
 
 
@@ -390,7 +392,7 @@ def formatted(conversations: DataFrame, template: Callable[[], Template] = turns
             for i, (text, spans) in enumerate(_segments(compiled.pieces(messages=messages), segment)):
                 waiting.append((conv, i, text, [{"start": a, "end": b} for a, b in spans]))
                 size += len(text)
-                if size >= segment or len(waiting) >= 4096:
+                if size >= BATCH_CHARS or len(waiting) >= 4096:
                     yield _frame(waiting, ["conv_id", "segment", "text", "spans"])
                     waiting, size = [], 0
         if waiting:
