@@ -51,7 +51,8 @@ def masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id"))
     known = known.agg(F.max((F.coalesce("quality", F.lit(0)) == 1).cast("int")).alias("good"), F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias("toxic"))
-    copies = t.groupBy("sha").agg(F.min("id").alias("least"), F.count("*").alias("times")).where("times > 1").select("sha", "least")
+    # Written, so that the join has a shuffle of its own on this side too, without which the other cannot be split.
+    copies = stored(t.groupBy("sha").agg(F.min("id").alias("least"), F.count("*").alias("times")).where("times > 1").select("sha", "least"), "copies")
     t = t.join(known, "id", "left").join(copies, "sha", "left")
     again = F.when(F.col("id") > F.col("least"), 1 << 4).otherwise(0)
     return t.select("part", (F.col("mask") + again).alias("mask"), F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
