@@ -256,8 +256,8 @@ def test_lm_base_score_is_exact(spark, documents, odd):
         c = collections.Counter(w for t in train for w in t)
         n, v = sum(c.values()), len(c)
         want = sorted(((r["doc_id"] or 0), len(t), sum(c[w] > 0 for w in t), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 4)) for r, t in zip(rows, tokens, strict=True))
-        for table_rows in (1_000_000, 50):
-            got = lm_score.scored(docs, table_rows=table_rows).collect()
+        for fan in (1024, 4):
+            got = lm_score.scored(docs, fan=fan).collect()
             assert sorted(((r["doc_id"] or 0), r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in got) == want
             assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
 
@@ -292,11 +292,10 @@ def test_lm_filter_holds_levels_and_pairs_help_where_words_follow_each_other(spa
     rng = np.random.default_rng(6)
     key = rng.integers(0, 2**63, 5000).astype(np.uint64)
     n = rng.integers(2, 3000, 5000)
-    df = spark.createDataFrame([(int(k & np.uint64(4095)), int(k.astype(np.int64)), int(x)) for k, x in zip(key, n, strict=True)], "segment int, key long, n long")
-    f = lm_score.build_filter(df)
-    level = f.levels(key)
+    f = lm_score.LogFilter(key, n)
+    level = f.found(key)
     assert (level >= lm_score.level_of(n)).all() and (level == lm_score.level_of(n)).mean() > 0.97
-    assert (f.levels(rng.integers(0, 2**63, 5000).astype(np.uint64)) == 1).mean() > 0.95
+    assert (f.found(rng.integers(0, 2**63, 5000).astype(np.uint64)) == 0).mean() > 0.95
     texts = []
     for i in range(300):
         w = [int(rng.integers(0, 200))]
@@ -307,11 +306,34 @@ def test_lm_filter_holds_levels_and_pairs_help_where_words_follow_each_other(spa
     assert np.mean([r["score"] / r["n_tokens"] for r in got]) > np.mean([r["base_score"] / r["n_tokens"] for r in got])
 
 
-def test_lm_filter_keeps_every_level_in_small_parts(spark):
+def test_lm_filter_keeps_every_level_in_small_parts():
     rng = np.random.default_rng(8)
-    key, n = rng.integers(0, 2**63, 3000).astype(np.uint64), rng.integers(2, 40, 3000)
-    df = spark.createDataFrame([(int(k & np.uint64(4095)), int(k.astype(np.int64)), int(x)) for k, x in zip(key, n, strict=True)], "segment int, key long, n long")
-    assert (lm_score.build_filter(df, most_bits=1 << 12).levels(key) >= lm_score.level_of(n)).all()
+    key, n = np.sort(rng.integers(0, 2**63, 3000).astype(np.uint64)), rng.integers(2, 40, 3000)
+    at = lm_score.segment_starts(key, 1 << 12)
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        assert (lm_score.LogFilter(key[i:j], n[i:j]).found(key[i:j]) >= lm_score.level_of(n[i:j])).all()
+
+
+def test_lm_rows_between_the_stages_grow_with_the_corpus(spark, documents):
+    """Small slabs stand for a large corpus: with few ranges a slab, segments are dealt in two steps, scores stay equal,
+    and neither a slab nor a block sends more rows than it may."""
+    base = documents.select("doc_id", "text", (lm_score.remainder("doc_id", 7) == 2).alias("held_out")).repartition(3)
+    seen = {}
+    for most in (40_000, 10_000):
+        packed = lm_score.stored(lm_score.slabs(base, most), "slabs")
+        count, fan = packed.count(), 8
+        segments = lm_score.ranges_of(4 * count, 1)
+        rows = lm_score.stored(lm_score.asked(packed, fan).withColumn("block", F.pmod(F.xxhash64("slab"), F.lit(-(-count * fan // segments)))), "asked")
+        fine = lm_score.dealt_on(rows, fan, segments)
+        seen[count] = rows.count() + fine.count()
+        assert segments > fan and rows.count() <= fan * count
+        assert fine.groupBy("slab").agg((F.count("*") / F.countDistinct((F.col("segment") * fan / segments).cast("int"))).alias("sent")).where(F.col("sent") > segments / fan).isEmpty()
+        words = fine.select(F.sum(F.length("word")), F.sum(F.length("word_n"))).first()
+        assert words[0] == words[1]
+    (few, less), (many, more) = sorted(seen.items())
+    assert many > 2 * few and more / less <= 1.5 * many / few
+    one, two = (sorted((r["doc_id"], r["score"], r["base_score"]) for r in lm_score.scored(documents, fan=fan).collect()) for fan in (1024, 2))
+    assert one == two
 
 
 def test_lm_score_does_not_depend_on_partitions_or_on_how_rows_are_dealt(spark, documents):

@@ -4,10 +4,15 @@ Documents are packed into slabs of some megabytes of text. A slab hashes its wor
 and sends them, with their training counts, to the segments that the first bits of the hashes name. A segment adds the
 counts up and builds its own part of the filter: a count c becomes the level 1 + floor(log2 c), and an n-gram enters
 once for each level from 1 to its own, so the first probe tells seen once from unseen. The part is made of shards, and a
-shard has as many bits as its entries need, so that the filter is a function of the n-grams alone. The segment then probes it for every n-gram that it was asked for, level after level until one is missing, and sends a byte
-a piece back to the slab, which takes the middle of the last level as the count; pair and word probabilities are
-interpolated. No part of the filter leaves its task, and there are more segments when there are more shuffle
-partitions, so every level is there at every size.
+shard has as many bits as its entries need, so that the filter is a function of the n-grams alone. The segment then
+probes it for every n-gram that it was asked for, level after level until one is missing, and sends a byte a piece back
+to the slab, which takes the middle of the last level as the count; pair and word probabilities are interpolated. No
+part of the filter leaves its task, and there are more segments where the corpus is larger, so every level is there at
+every size.
+
+A slab sends at most ``fan`` rows. Where there are more segments than that, its rows go to ``fan`` coarse ranges of
+hashes first; there, rows of as many slabs as a range has segments are merged, equal n-grams added up, and dealt out by
+the next bits. Answers come back by the same way. Rows between the stages thus grow with the corpus, not its square.
 
 The base score needs exact counts of words; they come back with the levels. A word asks once a slab: no key is hot.
 
@@ -114,35 +119,8 @@ def segment_starts(key: np.ndarray, segments: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(key, first), len(key)]
 
 
-class Segments:
-    """The whole filter of a small table of counts, as parts of at most ``most_bits`` bits (two entries at least)."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray, bits_per_entry: int, most_bits: int):
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        self.count = 1
-        while True:
-            self.count *= 2
-            at = segment_starts(key, self.count)
-            self.parts = [LogFilter(key[s:e], n[s:e], bits_per_entry) for s, e in zip(at[:-1], at[1:], strict=True)]
-            if self.count >= len(key) or max(int(p.bits) for p in self.parts) <= most_bits:
-                break
-
-    def levels(self, key: np.ndarray) -> np.ndarray:
-        """As ``LogFilter.found``, 1 at least."""
-        out = np.ones(len(key), dtype=np.int64)
-        own = key >> np.uint64(65 - self.count.bit_length())
-        for s, part in enumerate(self.parts):
-            out[own == s] = np.maximum(part.found(key[own == s]), 1)
-        return out
-
-
-def build_filter(counts: DataFrame, bits_per_entry: int = 10, most_bits: int = 1 << 29) -> Segments:
-    """counts: key, n; a table that fits the driver. The parts are those that ``scored`` builds side by side."""
-    t = counts.select("key", "n").toPandas()
-    return Segments(t["key"].to_numpy(dtype=np.int64).view(np.uint64), t["n"].to_numpy(dtype=np.int64), bits_per_entry, most_bits)
-
-
+ASKED = "slab long, segment int, word binary, word_n binary, pair binary, pair_n binary"
+KINDS = (("word", ("word_n", "word_level")), ("pair", ("pair_level",)))
 SLAB = "ids binary, none binary, held binary, size binary, text binary"
 
 
@@ -213,7 +191,7 @@ def asked(packed: DataFrame, segments: int) -> DataFrame:
                 out = pd.DataFrame({"slab": slab, "segment": np.arange(segments, dtype=np.int32), **row})
                 yield out[(out["word"].str.len() + out["pair"].str.len()) > 0]
 
-    return packed.select("slab", "held", "size", "text").mapInPandas(run, "slab long, segment int, word binary, word_n binary, pair binary, pair_n binary")
+    return packed.select("slab", "held", "size", "text").mapInPandas(run, ASKED)
 
 
 def answered(rows: DataFrame, bits_per_entry: int = 10) -> DataFrame:
@@ -221,14 +199,7 @@ def answered(rows: DataFrame, bits_per_entry: int = 10) -> DataFrame:
     without a slab has the segment's training tokens, distinct words, and tokens of pairs that stand again."""
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        keys, counts, backs, cuts = [], [], [], []
-        for name in ("word", "pair"):
-            key, back = np.unique(np.frombuffer(b"".join(t[name]), dtype=np.uint64), return_inverse=True)
-            n = np.bincount(back, weights=np.frombuffer(b"".join(t[f"{name}_n"]), dtype=np.uint32), minlength=len(key)).astype(np.int64)
-            keys.append(key)
-            counts.append(n)
-            backs.append(back)
-            cuts.append(np.r_[0, np.cumsum(t[name].str.len().to_numpy() // 8)].astype(np.int64))
+        keys, counts, backs, cuts = zip(*merged(t).values(), strict=True)
         f = LogFilter(np.concatenate(keys), np.concatenate(counts), bits_per_entry)
         exact = counts[0][backs[0]]
         word, pair = (f.found(k).astype(np.uint8)[b] for k, b in zip(keys, backs, strict=True))
@@ -241,22 +212,85 @@ def answered(rows: DataFrame, bits_per_entry: int = 10) -> DataFrame:
     return rows.groupBy("segment").applyInPandas(run, "slab long, segment int, word_n binary, word_level binary, pair_level binary, total long, distinct long, again long")
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, table_rows: int = 1_000_000, weight: float | None = None, bits_per_entry: int = 10) -> DataFrame:
+def merged(t: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For words and pairs of rows of ``asked``: distinct keys in order, their counts added up, the place of every
+    row's keys among them, and where each row begins in those places."""
+    out = {}
+    for name, _ in KINDS:
+        keys, counts = b"".join(t[name]), b"".join(t[f"{name}_n"])  # a slab's counts have four bytes, those of a block eight
+        key, back = np.unique(np.frombuffer(keys, dtype=np.uint64), return_inverse=True)
+        n = np.bincount(back, weights=np.frombuffer(counts, dtype=np.int64 if len(counts) == len(keys) else np.uint32), minlength=len(key)).astype(np.int64)
+        out[name] = key, n, back, np.r_[0, np.cumsum(t[name].str.len().to_numpy() // 8)].astype(np.int64)
+    return out
+
+
+def dealt_on(rows: DataFrame, fan: int, segments: int) -> DataFrame:
+    """rows: slab, segment (one of ``fan``), block and the fields of ``asked``. The same fields for the rows that each
+    block of a coarse segment sends to its own segments; ``slab`` is the block there."""
+    each = segments // fan
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("slab")
+        coarse = int(t["segment"].iloc[0])
+        row: dict[str, list] = {}
+        for name, (key, n, _, _) in merged(t).items():
+            edge = (np.arange(1, each, dtype=np.uint64) + np.uint64(coarse * each)) << np.uint64(65 - segments.bit_length())
+            cut = np.r_[0, np.searchsorted(key, edge), len(key)]
+            for field, values in ((name, key), (f"{name}_n", n)):
+                row[field] = [values[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        out = pd.DataFrame({"slab": t["block"].iloc[0], "segment": np.arange(coarse * each, (coarse + 1) * each, dtype=np.int32), **row})
+        return out[(out["word"].str.len() + out["pair"].str.len()) > 0]
+
+    return rows.groupBy("segment", "block").applyInPandas(run, ASKED)
+
+
+def handed_back(rows: DataFrame, answers: DataFrame, fan: int, segments: int) -> DataFrame:
+    """The answers of ``answered`` to the blocks of ``dealt_on``, as answers to the slabs in them."""
+    each = segments // fan
+
+    def run(t: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        t, answer = t.sort_values("slab"), answer.sort_values("fine")
+        out: dict[str, list] = {"slab": t["slab"], "segment": t["segment"]}
+        of = merged(t)
+        for name, fields in KINDS:
+            _, _, back, cut = of[name]
+            for field in fields:
+                values = np.frombuffer(b"".join(answer[field]), dtype=np.int64 if field == "word_n" else np.uint8)[back]
+                out[field] = [values[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return pd.DataFrame(out)
+
+    replies = answers.where("slab is not null").select(F.floor(F.col("segment") / each).cast("int").alias("segment"), F.col("slab").alias("block"), F.col("segment").alias("fine"), "word_n", "word_level", "pair_level")
+    return rows.groupBy("segment", "block").cogroup(replies.groupBy("segment", "block")).applyInPandas(run, "slab long, segment int, word_n binary, word_level binary, pair_level binary")
+
+
+def ranges_of(slabs: int, partitions: int) -> int:
+    """Some segments for each partition, so that partitions fill evenly, and more where the corpus is large, so that a
+    segment has the n-grams of about four slabs at most. A power of two; a segment holds whole shards of the filter, so
+    the number never changes a result."""
+    return min(1 << SHARD, 1 << (max(2, 4 * partitions, slabs // 4) - 1).bit_length())
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, weight: float | None = None, bits_per_entry: int = 10, fan: int = 1024) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     ``weight`` of the pairs against the words: by default the share of pairs that would still be in the filter with one
-    of their places left out, which is what an unseen text may expect. ``table_rows`` bounded a table of common words;
-    every exact count now comes from its segment, and the results do not depend on it.
+    of their places left out, which is what an unseen text may expect. ``fan``, a power of two of 2 and more: the rows
+    that a slab sends at most; results do not depend on it.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = base.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)))
     packed = stored(slabs(base), "slabs")
-    # Some segments for each partition, so that partitions fill evenly, and more where the corpus is large, so that a
-    # segment has the n-grams of about four slabs at most.
-    # Their number never changes a result: a segment holds whole shards of the filter.
-    segments = min(1 << SHARD, 1 << (max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), packed.count() // 4) - 1).bit_length())
-    answers = stored(answered(asked(packed, segments), bits_per_entry), "answers")
+    count = packed.count()
+    segments = ranges_of(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = asked(packed, min(fan, segments))
+    if segments <= fan:
+        answers = replies = stored(answered(rows, bits_per_entry), "answers")
+    else:
+        blocks = -(-count * fan // segments)
+        rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("slab"), F.lit(blocks))), "asked")
+        answers = stored(answered(dealt_on(rows, fan, segments), bits_per_entry), "answers")
+        replies = handed_back(rows, answers, fan, segments)
     total, distinct, again = answers.where("slab is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "distinct", "again")]).first()
     if weight is None:
         weight = min(0.9, max(0.01, again / max(1, total)))
@@ -277,6 +311,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         n_known = np.add.reduceat((exact > 0)[s.word_at].astype(np.int64), s.starts)
         return pd.DataFrame({"id": np.frombuffer(of["ids"], dtype=np.int64), "none": np.frombuffer(of["none"], dtype=bool), "held_out": np.frombuffer(of["held"], dtype=bool), "n_tokens": s.size, "n_known": n_known, "base_score": base_score, "score": score})
 
-    replies = answers.where("slab is not null").select("slab", "segment", "word_n", "word_level", "pair_level")
+    replies = replies.where("slab is not null").select("slab", "segment", "word_n", "word_level", "pair_level")
     out = packed.groupBy("slab").cogroup(replies.groupBy("slab")).applyInPandas(run, "id long, none boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
