@@ -65,6 +65,64 @@ def test_license_rules(spark):
     assert len(license_scan.rules()) >= 300
 
 
+MANIFESTS = {
+    1: ("Licence MIT", "mit", 0.85),
+    2: ('license = {text = "MIT"}', "mit", 0.85),
+    3: ('"license": { "type": "ISC", "url": "x" }', "isc", 0.85),
+    4: ("s.license = { :type => 'BSD' }", "bsd", 0.85),
+    5: ("license=('MPL2')", "mpl", 0.85),
+    6: ("<license>\n  <name>Apache 2</name>", "apache", 0.85),
+    7: ("License :: OSI Approved :: GNU General Public License v3 (GPLv3)", "gpl", 0.85),
+    8: ("https://img.shields.io/badge/license-MIT-blue.svg", "mit", 0.85),
+    9: ('MODULE_LICENSE("Dual BSD/GPL");', "bsd,gpl", 0.85),
+    10: ("meta.license = lib.licenses.asl20;", "apache", 0.85),
+    11: ('license = "Apache-2.0 OR MIT"', "apache,mit", 0.85),
+    12: ("  license_family: BSD", "bsd", 0.85),
+    13: ("Veröffentlicht unter der MIT-Lizenz. Alle Rechte vorbehalten", "mit,proprietary", 0.85),
+    14: ("eine Lizenz mit Auflagen, mit Lizenz", "", 0.0),
+    15: ("sous licence publique GÉNÉRALE GNU, tous droits réservés", "gpl,proprietary", 0.85),
+    16: ("bajo la licencia pública general reducida de GNU", "lgpl", 0.85),
+    17: ("\u212a licence publique GÉNÉRALE", "gpl", 0.85),
+    18: ("@license ISC", "isc", 0.85),
+    19: ("<license><name>permit</name> badge/licence-mits license_family: mitt", "", 0.0),
+}
+
+
+def test_license_manifests_and_languages(spark):
+    assert labels_of(spark, MANIFESTS) == {i: (a, b) for i, (_, a, b) in MANIFESTS.items()}
+    written = license_scan.FULL_NAMES + license_scan.SHORT_NAMES + license_scan.SIGNATURES + license_scan.FORMS
+    assert len({x for _, _, x in written}) >= 240
+
+
+def brute_labels(text, rules):
+    """Every rule over the whole text without keywords or prefilter, and suppression by comparing all pairs."""
+    import regex
+
+    low = regex.sub(license_scan.GAP, " ", (text or "").translate(LOWER), flags=regex.ASCII)
+    found = [(m.start(), m.end(), p, label, sure) for p, label, sure, pattern in rules for m in pattern.finditer(low)]
+    found = set(found)
+
+    def hidden(a):
+        return any(b[0] <= a[0] and a[1] <= b[1] and b[2] <= a[2] and ((a[0], a[1], a[2]) != (b[0], b[1], b[2]) or b[3] < a[3]) for b in found if b != a)
+
+    kept = [x for x in found if not hidden(x)]
+    base = brute_license(text)
+    labels = {x[3] for x in kept} | set(base[4].split(",")) - {""}
+    return ",".join(sorted(labels)), max([x[4] for x in kept] + [0.5 if base[1] else 0.0])
+
+
+def test_license_labels_equal_brute_force(spark, documents, odd):
+    import regex
+
+    rules = [(r.priority, r.label, r.sure, regex.compile(r"(?<![a-z0-9])" + r.pattern + r"(?![a-z0-9])", regex.ASCII)) for r in license_scan.rules()]
+    rng = np.random.default_rng(12)
+    parts = [t for t, _, _ in MANIFESTS.values()] + ["licensed under the", "GNU GPL v2", "or later", "MIT", "Apache License, Version 2.0", "SPDX-License-Identifier: MIT OR", "\n# ", "lesser general public license", "BSD 3-Clause", "license:", "subject to the terms of", "all rights reserved", "Creative Commons Attribution", "x"]
+    mixed = spark.createDataFrame([(-2 - i, " ".join(rng.choice(parts, 6))) for i in range(150)], "doc_id long, text string")
+    rows = documents.select("doc_id", "text").where("instr(lower(text), 'licen') > 0").union(mixed).union(odd.select("doc_id", "text").where("length(text) < 1000"))
+    want = collections.Counter((r["doc_id"], *brute_labels(r["text"], rules)) for r in rows.collect())
+    assert collections.Counter((r["doc_id"], r["labels"], r["score"]) for r in license_scan.scan(rows).collect()) == want
+
+
 def test_license_keywords_stand_in_every_match():
     """A match of a rule, made from its expression, holds all its keywords, and one of them holds a prefilter word."""
     from hypothesis import HealthCheck, given, settings

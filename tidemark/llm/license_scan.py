@@ -160,6 +160,134 @@ SIGNATURES = [
     ("ofl", "scripts.sil.org/ofl", r"scripts\.sil\.org/ofl"),
 ]
 
+#: Forms of package manifests, badges, comments and other languages, each written as it stands there: label,
+#: keyword, expression. The German word "mit" is no licence, so that language's form wants a hyphen.
+FORMS = [
+    ("mit", "license :: osi approved :: mit", r"license :: osi approved :: mit (?:no attribution )?license"),
+    ("apache", "license :: osi approved :: apache", r"license :: osi approved :: apache software license"),
+    ("bsd", "license :: osi approved :: bsd", r"license :: osi approved :: bsd license"),
+    ("gpl", "license :: osi approved :: gnu general", r"license :: osi approved :: gnu general public license(?: v[23](?: or later)? \(gplv[23]\+?\)| \(gpl\))?"),
+    ("lgpl", "license :: osi approved :: gnu l", r"license :: osi approved :: gnu (?:lesser|library or lesser) general public license(?: v[23](?: or later)? \(lgplv[23]\+?\)| \(lgpl\))?"),
+    ("agpl", "license :: osi approved :: gnu affero", r"license :: osi approved :: gnu affero general public license v3(?: or later)?(?: \(agplv3\+?\))?"),
+    ("mpl", "license :: osi approved :: mozilla", r"license :: osi approved :: mozilla public license(?: [12]\.[01] \(mpl(?: [12]\.[01])?\))?"),
+    ("isc", "license :: osi approved :: isc", r"license :: osi approved :: isc license \(iscl\)"),
+    ("psf", "license :: osi approved :: python", r"license :: osi approved :: python software foundation license"),
+    ("zlib", "license :: osi approved :: zlib", r"license :: osi approved :: zlib/libpng license"),
+    ("epl", "license :: osi approved :: eclipse", r"license :: osi approved :: eclipse public license [12]\.0 \(epl-[12]\.0\)"),
+    ("eupl", "license :: osi approved :: european", r"license :: osi approved :: european union public licence 1\.[012] \(eupl 1\.[012]\)"),
+    ("boost", "license :: osi approved :: boost", r"license :: osi approved :: boost software license 1\.0 \(bsl-1\.0\)"),
+    ("unlicense", "license :: osi approved :: the unlicense", r"license :: osi approved :: the unlicense \(unlicense\)"),
+    ("artistic", "license :: osi approved :: artistic", r"license :: osi approved :: artistic license"),
+    ("cc0", "license :: cc0", r"license :: cc0 1\.0 universal \(cc0 1\.0\) public domain dedication"),
+    ("public-domain", "license :: public domain", r"license :: public domain"),
+    ("proprietary", "license :: other/proprietary", r"license :: other/proprietary license"),
+    ("gpl", "module_license", r"module_license ?\( ?\"gpl(?: v2)?(?: and additional rights)?\""),
+    ("bsd", "module_license", r"module_license ?\( ?\"dual bsd"),
+    ("mit", "module_license", r"module_license ?\( ?\"dual mit"),
+    ("mpl", "module_license", r"module_license ?\( ?\"dual mpl"),
+    ("proprietary", "module_license", r"module_license ?\( ?\"proprietary"),
+    ("mit", "licenses.mit", r"licenses\.mit"),
+    ("apache", "licenses.asl20", r"licenses\.asl20"),
+    ("bsd", "licenses.bsd", r"licenses\.bsd(?:[023]|original)"),
+    ("gpl", "licenses.gpl", r"licenses\.gpl[123](?:plus|only)?"),
+    ("lgpl", "licenses.lgpl", r"licenses\.lgpl(?:2|21|3)(?:plus|only)?"),
+    ("agpl", "licenses.agpl", r"licenses\.agpl3(?:plus|only)?"),
+    ("mpl", "licenses.mpl", r"licenses\.mpl(?:10|11|20)"),
+    ("isc", "licenses.isc", r"licenses\.isc"),
+    ("zlib", "licenses.zlib", r"licenses\.zlib"),
+    ("boost", "licenses.boost", r"licenses\.boost"),
+    ("epl", "licenses.epl", r"licenses\.epl[12]0"),
+    ("cc0", "licenses.cc0", r"licenses\.cc0"),
+    ("artistic", "licenses.artistic", r"licenses\.artistic[12]"),
+    ("psf", "licenses.psfl", r"licenses\.psfl"),
+    ("ofl", "licenses.ofl", r"licenses\.ofl"),
+    ("public-domain", "licenses.publicdomain", r"licenses\.publicdomain"),
+    ("proprietary", "licenses.unfree", r"licenses\.unfree(?:redistributable)?"),
+    ("bsd", "license: bsd", r"license: bsd[234]"),
+    ("public-domain", "license: publicdomain", r"license: publicdomain"),
+    ("proprietary", "license: allrights", r"license: allrightsreserved"),
+    ("artistic", "licen", r"licen[sc]e[\"']? ?(?:=>|:|=) ?[\"']?perl(?:_5)?"),
+    ("mit", "badge/licen", r"badge/licen[sc]e-mit"),
+    ("apache", "badge/licen", r"badge/licen[sc]e-apache(?:(?:%20|_|--)?v?2(?:\.0)?)?"),
+    ("bsd", "badge/licen", r"badge/licen[sc]e-bsd(?:(?:%20|_|--)[0-4](?:(?:%20|_|--)clause)?)?"),
+    ("gpl", "badge/licen", r"badge/licen[sc]e-gpl(?:(?:%20|_|--)?v?[23](?:\.0)?)?"),
+    ("lgpl", "badge/licen", r"badge/licen[sc]e-lgpl(?:(?:%20|_|--)?v?[23](?:\.[01])?)?"),
+    ("agpl", "badge/licen", r"badge/licen[sc]e-agpl(?:(?:%20|_|--)?v?3(?:\.0)?)?"),
+    ("mpl", "badge/licen", r"badge/licen[sc]e-mpl(?:(?:%20|_|--)?v?[12](?:\.[01])?)?"),
+    ("epl", "badge/licen", r"badge/licen[sc]e-epl(?:(?:%20|_|--)?v?[12](?:\.0)?)?"),
+    ("isc", "badge/licen", r"badge/licen[sc]e-isc"),
+    ("cc", "badge/licen", r"badge/licen[sc]e-cc(?:%20|_|--)by(?:(?:%20|_|--)(?:nc|sa|nd))*"),
+    ("cc0", "badge/licen", r"badge/licen[sc]e-cc0"),
+    ("unlicense", "badge/licen", r"badge/licen[sc]e-unlicense"),
+    ("proprietary", "badge/licen", r"badge/licen[sc]e-proprietary"),
+    ("mit", "<licen", r"<licen[sc]e(?: type=\"expression\")?> ?(?:<name> ?)?(?:the )?(?:mit|expat|x11)"),
+    ("apache", "<licen", r"<licen[sc]e(?: type=\"expression\")?> ?(?:<name> ?)?(?:the )?(?:apache|asl)"),
+    ("bsd", "<licen", r"<licen[sc]e(?: type=\"expression\")?> ?(?:<name> ?)?(?:the )?(?:(?:new|revised|simplified|[23][- ]clause) )?bsd"),
+    ("gpl", "<licen", r"<licen[sc]e(?: type=\"expression\")?> ?(?:<name> ?)?(?:the )?(?:gnu )?gpl(?:[- ]?v?[123](?:\.0)?)?"),
+    ("lgpl", "<licen", r"<licen[sc]e(?: type=\"expression\")?> ?(?:<name> ?)?(?:the )?(?:gnu )?lgpl(?:[- ]?v?[23](?:\.[01])?)?"),
+    ("agpl", "<licen", r"<licen[sc]e(?: type=\"expression\")?> ?(?:<name> ?)?(?:the )?(?:gnu )?agpl(?:[- ]?v?3(?:\.0)?)?"),
+    ("mpl", "<licen", r"<licen[sc]e(?: type=\"expression\")?> ?(?:<name> ?)?(?:the )?mpl(?:[- ]?v?[12](?:\.[01])?)?"),
+    ("epl", "<licen", r"<licen[sc]e(?: type=\"expression\")?> ?(?:<name> ?)?(?:the )?epl(?:[- ]?v?[12](?:\.0)?)?"),
+    ("isc", "<licen", r"<licen[sc]e(?: type=\"expression\")?> ?(?:<name> ?)?(?:the )?isc"),
+    ("proprietary", "<licen", r"<licen[sc]e> ?(?:<name> ?)?(?:proprietary|commercial|closed[- ]source)"),
+    ("mit", "license_family", r"license_family ?: ?mit"),
+    ("apache", "license_family", r"license_family ?: ?apache"),
+    ("bsd", "license_family", r"license_family ?: ?bsd"),
+    ("gpl", "license_family", r"license_family ?: ?gpl[23]?"),
+    ("lgpl", "license_family", r"license_family ?: ?lgpl"),
+    ("agpl", "license_family", r"license_family ?: ?agpl"),
+    ("mpl", "license_family", r"license_family ?: ?mozilla"),
+    ("cc", "license_family", r"license_family ?: ?cc"),
+    ("public-domain", "license_family", r"license_family ?: ?public[-_]domain"),
+    ("proprietary", "license_family", r"license_family ?: ?proprietary"),
+    ("mit", "@licen", r"@licen[sc]e:? (?:the )?mit"),
+    ("apache", "@licen", r"@licen[sc]e:? (?:the )?apache"),
+    ("bsd", "@licen", r"@licen[sc]e:? (?:the )?(?:new )?bsd"),
+    ("isc", "@licen", r"@licen[sc]e:? (?:the )?isc"),
+    ("zlib", "@licen", r"@licen[sc]e:? (?:the )?zlib"),
+    ("boost", "@licen", r"@licen[sc]e:? (?:the )?boost"),
+    ("mit", "license ", r"license :?[\"']mit[\"']"),
+    ("isc", "license ", r"license :?[\"']isc[\"']"),
+    ("zlib", "license ", r"license :?[\"']zlib[\"']"),
+    ("ncsa", "license ", r"license :?[\"']ncsa[\"']"),
+    ("mit", "{licenses", r"\{licenses, ?\[ ?[\"']mit"),
+    ("apache", "{licenses", r"\{licenses, ?\[ ?[\"']apache"),
+    ("bsd", "{licenses", r"\{licenses, ?\[ ?[\"']bsd"),
+    ("isc", "{licenses", r"\{licenses, ?\[ ?[\"']isc"),
+    ("mit", "apache-2.0", r"apache-2\.0(?: or |/)mit"),
+    ("mit", "licence mit", r"licence mit"),
+    ("apache", "licence apache", r"licence apache(?:[- ]v?(?:ersion )?[12](?:\.[01])?)?"),
+    ("bsd", "licence bsd", r"licence bsd(?: modifi[éÉ]e| simplifi[éÉ]e)?"),
+    ("isc", "licence isc", r"licence isc"),
+    ("gpl", "licence publique", r"licence publique g[éÉ]n[éÉ]rale(?: gnu)?"),
+    ("lgpl", "licence publique", r"licence publique g[éÉ]n[éÉ]rale (?:limit[éÉ]e|amoindrie)(?: gnu)?"),
+    ("mpl", "licence publique mozilla", r"licence publique mozilla"),
+    ("epl", "licence publique eclipse", r"licence publique eclipse"),
+    ("cc", "licence creative", r"licence creative[- ]commons"),
+    ("public-domain", "domaine public", r"domaine public"),
+    ("proprietary", "tous droits", r"tous droits r[éÉ]serv[éÉ]s"),
+    ("proprietary", "licence propri", r"licence propri[éÉ]taire"),
+    ("mit", "mit-lizenz", r"mit-lizenz"),
+    ("apache", "apache-", r"apache-(?:2\.0-)?lizenz"),
+    ("bsd", "bsd-", r"bsd-(?:[0234]-(?:klausel|clause)-)?lizenz"),
+    ("gpl", "gpl-lizenz", r"(?:gnu-)?gpl-lizenz"),
+    ("gpl", "gnu-lizenz", r"allgemeinen? [öÖ]ffentlichen? gnu-lizenz"),
+    ("cc", "creative-commons-lizenz", r"creative-commons-lizenz"),
+    ("public-domain", "gemeinfrei", r"gemeinfrei(?:e[mnrs]?)?"),
+    ("proprietary", "rechte vorbehalten", r"alle rechte vorbehalten"),
+    ("mit", "licencia mit", r"licencia mit"),
+    ("apache", "licencia ", r"licencia (?:p[úÚ]blica )?apache"),
+    ("bsd", "licencia bsd", r"licencia bsd"),
+    ("isc", "licencia isc", r"licencia isc"),
+    ("gpl", "licencia p", r"licencia p[úÚ]blica general(?: (?:de )?gnu)?"),
+    ("lgpl", "licencia p", r"licencia p[úÚ]blica general (?:reducida|menor)(?: (?:de )?gnu)?"),
+    ("mpl", "licencia p", r"licencia p[úÚ]blica de mozilla"),
+    ("cc", "licencia creative", r"licencia creative[- ]commons"),
+    ("public-domain", "dominio p", r"dominio p[úÚ]blico"),
+    ("proprietary", "derechos reservados", r"todos los derechos reservados"),
+]
+
+
 VERSION = r"(?:,? \(?v(?:ersion|\.)? ?[0-9]+(?:\.[0-9]+)*\)?)"
 
 #: What stands before the second and later names of an SPDX expression.
@@ -172,7 +300,7 @@ CITATIONS = [
     (("under ",), r"(?:licen[sc]ed|released|distributed|redistributed|available|published|provided|offered|shared) (?:only )?under (?:the )?(?:terms? (?:and conditions )?of )?(?:either )?(?:the |an? )?{n}{v}?(?: or (?:\(at your option\) )?(?:any )?later(?: version)?)?", 0.95, True),
     (("spdx-license-identifier:",), SPDX_BEFORE + "{n}", 0.95, True),
     (("subject to ",), r"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{n}{v}?", 0.9, True),
-    (("licen",), r"licen[sc](?:e|es|ing)[\"']? ?[:=] ?\[? ?[\"'(]?(?:the )?{n}", 0.85, True),
+    (("licen",), r"licen[sc](?:e|es|ing)[\"']? ?(?:=>|[:=]) ?[\[({]? ?(?:[\"':]?(?:text|type|name|id|value)[\"']? ?(?:=>|[:=]) ?)?[\"'(]?(?:the )?{n}", 0.85, True),
     (("copying",), r"copying[\"']? ?[:=] ?[\"'(]?(?:the )?{n}", 0.85, True),
     (("licensed",), r"{n}[- ]licensed", 0.85, True),
     ((), r"{n}{v}", 0.8, False),
@@ -189,15 +317,16 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """In order of priority; signatures of a text stand beside the citations of the second kind."""
+    """In order of priority; signatures of a text stand beside the citations of the second kind, forms beside keys."""
     made = [Rule(p, label, (key, *words, *["licen"] * name.endswith("licen[sc]e")), way.replace("{n}", f"(?:{name})").replace("{v}", VERSION), sure) for p, (words, way, sure, short) in enumerate(CITATIONS) for label, key, name in FULL_NAMES + SHORT_NAMES * short]
-    return sorted([*made, *[Rule(1, label, (key,), pattern, 0.95) for label, key, pattern in SIGNATURES]], key=lambda r: (r.priority, r.label))
+    return sorted([*made, *[Rule(1, label, (key,), pattern, 0.95) for label, key, pattern in SIGNATURES], *[Rule(4, label, (key,), pattern, 0.85) for label, key, pattern in FORMS]], key=lambda r: (r.priority, r.label))
 
 
 #: The prefilter, words without blanks. Every rule has a keyword that holds one of them (a test sees to it).
 PREFILTER = [
     "licen", "under", "subject", "copying", "gpl", "bsd", "x11", "apache-", "mpl-", "epl-", "bsl-", "psf-", "ofl-", "artistic-", "cc0", "cc-by", "by-", "commons", "cddl", "wtfpl", "eupl",
     "ms-pl", "odbl", "gfdl", "domain", "reserved", "proprietary", "hereby", "redistribut", "permission", "required", "unencumbered", "warranty", "waived", "org/mpl", "legal/epl", "org/ofl", "affero",
+    "lizenz", "gemeinfrei", "vorbehalten", "droits", "dominio", "derechos",
 ]
 
 #: White space between words, of a line or across lines, with the comment signs in it; possessive, so long runs are safe.
