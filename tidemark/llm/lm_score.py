@@ -270,7 +270,7 @@ def ranges_of(slabs: int, partitions: int) -> int:
     return min(1 << SHARD, 1 << (max(2, 4 * partitions, slabs // 4) - 1).bit_length())
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, weight: float | None = None, bits_per_entry: int = 10, fan: int = 1024) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, weight: float | None = None, bits_per_entry: int = 10, fan: int = 4096) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     ``weight`` of the pairs against the words: by default the share of pairs that would still be in the filter with one
