@@ -290,6 +290,16 @@ def test_pii_candidates():
     assert got == ["(555) 301-4100", "bob [at] site [dot] com", "AB12-99", "x" + "9" * 5000]
 
 
+def test_pii_counts_each_kind(spark):
+    """Spans of several kinds in one text, more of one kind than of others, and one kind alone."""
+    kinds = {"n_email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "n_ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "n_card": r"[0-9]([\x20-]?[0-9])+", "n_phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    texts = ["a@b.cc 1.2.3.4 5.6.7.8 x@y.zz q@r.ss", "ip 1.2.3.4", "+49 30 123456 and +49 30 654321", "card 4111 1111 1111 1111", "c@d.ee; 4111111111111111; 9.9.9.9; +1 555 123 4567", "none", None]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    keep = {"n_email": lambda m: True, "n_ip": lambda m: True, "n_card": lambda m: sum(map(str.isdigit, m)) >= 12, "n_phone": lambda m: sum(map(str.isdigit, m)) >= 9}
+    for i, text in enumerate(texts):
+        assert {k: got[i][k] for k in kinds} == {k: sum(keep[k](m[0]) for m in re.finditer(x, text or "")) for k, x in kinds.items()}
+
+
 def test_pii_odd_rows(odd, nothing):
     assert pii.report(odd).count() == odd.count() and pii.report(nothing).count() == 0 and pii.redacted(nothing).count() == 0
     assert pii.report(odd).where("doc_id = 4").first()["base_sha256"] == hashlib.sha256(b"").hexdigest()

@@ -23,7 +23,7 @@ overlap no base span. An empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import xxhash
@@ -182,6 +182,11 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
+def _of_kind(rank: int) -> Callable[[Column], Column]:
+    """A test of a span. Of one parameter: Spark hands the place in the array to a second one, default or not."""
+    return lambda span: span["rank"] == rank
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, text_hash, base and found, arrays of (start, rank, end)."""
     rows = stored(occurrences(docs, id_col, text_col), "occurrences")
@@ -200,7 +205,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_found."""
     s = spans(docs, **options)
-    counts = {f"n_{k}": F.size(F.filter("base", lambda x, i=i: x["rank"] == i)).cast("long") for i, k in enumerate(BASE)}
+    counts = {f"n_{k}": F.size(F.filter("base", _of_kind(i))).cast("long") for i, k in enumerate(BASE)}
     both = F.array_sort(F.concat("base", "found"))
     return s.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(both).alias("spans"), F.size("found").cast("long").alias("n_found"))
 
