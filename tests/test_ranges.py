@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import align, anomaly, clean, ranges
 from tidemark.operators import windows as W
+from tidemark.plans import catalog
 from tidemark.spec import SeriesSpec
 
 SPEC = SeriesSpec(("k",), "t", ("i",))
@@ -152,3 +153,20 @@ def test_asof_of_nothing(spark):
     for parts in (None, 4):
         assert align.asof_latest(left, right, ["k"], "t", ["v"], parts=parts).count() == 0
         assert align.asof_latest(right.drop("v"), right.limit(0), ["k"], "t", ["v"], parts=parts).first()["v"] is None
+
+
+@pytest.mark.parametrize("query", ["whole_series_fill", "daily_order_fill", "forward_backward_fill"])
+def test_no_fill_adds_up_to_the_end_for_each_row(spark, data, query):
+    """A frame that ends with the last row is gone through anew for each of its rows, a square of them."""
+    if query == "forward_backward_fill":
+        df = clean.forward_backward_fill(spark.range(9).selectExpr("'a' as k", "id as t", "id as i", "1 as v"), SPEC, ["v"])
+    else:
+        df = catalog.queries()[query](spark, data)
+    assert "unboundedfollowing" not in df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_fill_of_rows_at_one_place_takes_one_order(spark):
+    """Rows that are equal in time and ties: what is known of one is the only thing known to all."""
+    df = spark.createDataFrame([("a", 1, 1, None), ("a", 1, 1, 5.0), ("a", 1, 1, None), ("b", None, None, 2.0), ("b", 3, 1, None)], "k string, t int, i int, v double")
+    for got in (clean.forward_backward_fill(df, SPEC, ["v"]), ranges.fill(df, SPEC, ["v"], parts=3)):
+        assert sorted((r["k"], r["v"]) for r in got.collect()) == [("a", 5.0)] * 3 + [("b", 2.0)] * 2

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec
+from .ranges import known_values
 from .ranks import percentiles
 
 #: The constants that stand for missing readings.
@@ -56,12 +57,7 @@ def midpoint(value: Column, low: Column, high: Column) -> Column:
 
 def forward_backward_fill(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], backward: bool = True) -> DataFrame:
     """Last known value, then, unless ``backward`` is off, the next one. Filling backward reads the future."""
-    past = spec.rows().rowsBetween(Window.unboundedPreceding, 0)
-    future = spec.rows().rowsBetween(0, Window.unboundedFollowing)
-    filled = {c: F.last(c, ignorenulls=True).over(past) for c in columns}
-    if backward:
-        filled = {c: F.coalesce(v, F.first(c, ignorenulls=True).over(future)) for c, v in filled.items()}
-    return df.withColumns(filled)
+    return known_values(df, Window.partitionBy(*spec.keys), spec.order(), columns, backward)
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

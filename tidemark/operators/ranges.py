@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
@@ -74,6 +74,23 @@ def by_rows(df: DataFrame, spec: SeriesSpec, before: int, after: int, f: Callabl
     return made.where("not _halo").drop("_halo", "_part")
 
 
+def known_values(df: DataFrame, group: WindowSpec, order: Sequence[Column], columns: Sequence[str], backward: bool = True, past: Sequence[str] = (), future: Sequence[str] = ()) -> DataFrame:
+    """Each of ``columns`` becomes its last known value in the group, else that of its column in ``past``, and, unless
+    ``backward`` is off, else the next known value and that of its column in ``future``.
+
+    The next values are the last ones of the rows from back to front, for a frame that runs to the end of the group is
+    added up anew for each of its rows, a square of them. Places are numbered first, so that rows that are equal in
+    the order stand in one order both ways.
+    """
+    t = df.withColumn("_place", F.row_number().over(group.orderBy(*order)))
+    known = {c: [F.last(c, ignorenulls=True).over(group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), *map(F.col, past[i : i + 1])] for i, c in enumerate(columns)}
+    t = t.withColumns({f"_known_{i}": F.coalesce(*known[c]) for i, c in enumerate(columns)})
+    if backward:
+        back = group.orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0)
+        t = t.withColumns({f"_known_{i}": F.coalesce(f"_known_{i}", F.last(c, ignorenulls=True).over(back), *future[i : i + 1]) for i, c in enumerate(columns)})
+    return t.withColumns({c: F.col(f"_known_{i}") for i, c in enumerate(columns)}).drop("_place", *[f"_known_{i}" for i in range(len(columns))])
+
+
 def fill(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], backward: bool = True, parts: int | None = None) -> DataFrame:
     """The last known value and, unless ``backward`` is off, else the next one, however far it is away: the last and first
     known values of each range go over the borders."""
@@ -81,17 +98,10 @@ def fill(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], backward: bool
     at = F.struct(*spec.order())
     known = {c: F.when(F.col(c).isNotNull(), at) for c in columns}
     ends = edges(rows, **{f"_last_{i}": F.max_by(c, known[c]) for i, c in enumerate(columns)}, **{f"_first_{i}": F.min_by(c, known[c]) for i, c in enumerate(columns)})
-    over = Window.partitionBy("_key").orderBy("_part")
-    past, future = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
-    carried = ends.select("_part", "_key", *[F.last(f"_last_{i}", ignorenulls=True).over(past).alias(f"_past_{i}") for i in range(len(columns))], *[F.first(f"_first_{i}", ignorenulls=True).over(future).alias(f"_next_{i}") for i in range(len(columns))])
-    here = Window.partitionBy("_part", "_key").orderBy(*spec.order())
-    back, ahead = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(0, Window.unboundedFollowing)
-    filled = {}
-    for i, c in enumerate(columns):
-        known_before = [F.last(c, ignorenulls=True).over(back), F.col(f"_past_{i}")]
-        known_after = [F.first(c, ignorenulls=True).over(ahead), F.col(f"_next_{i}")] if backward else []
-        filled[c] = F.coalesce(*known_before, *known_after)
-    return _beside(rows, carried).withColumns(filled).select(*df.columns)
+    over, reverse = [Window.partitionBy("_key").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_part"), F.desc("_part"))]
+    carried = ends.select("_part", "_key", *[F.last(f"_last_{i}", ignorenulls=True).over(over).alias(f"_past_{i}") for i in range(len(columns))], *[F.last(f"_first_{i}", ignorenulls=True).over(reverse).alias(f"_next_{i}") for i in range(len(columns))])
+    filled = known_values(_beside(rows, carried), Window.partitionBy("_part", "_key"), spec.order(), columns, backward, [f"_past_{i}" for i in range(len(columns))], [f"_next_{i}" for i in range(len(columns))])
+    return filled.select(*df.columns)
 
 
 def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, parts: int | None = None) -> DataFrame:
