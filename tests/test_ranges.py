@@ -1,8 +1,11 @@
 """Ranges of long series against plain windows and plain Python."""
 
+import datetime as dt
 import random
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, anomaly, clean, ranges
@@ -170,3 +173,21 @@ def test_fill_of_rows_at_one_place_takes_one_order(spark):
     df = spark.createDataFrame([("a", 1, 1, None), ("a", 1, 1, 5.0), ("a", 1, 1, None), ("b", None, None, 2.0), ("b", 3, 1, None)], "k string, t int, i int, v double")
     for got in (clean.forward_backward_fill(df, SPEC, ["v"]), ranges.fill(df, SPEC, ["v"], parts=3)):
         assert sorted((r["k"], r["v"]) for r in got.collect()) == [("a", 5.0)] * 3 + [("b", 2.0)] * 2
+
+
+def test_trailing_means_equal_plain_range_windows(spark):
+    """Several keys and a null one, equal times, times on the borders of panes, null times and values, silences."""
+    rng = random.Random(5)
+    times = [None, -3600, -1, 0, 59, 60, 61, 120, 600, *[rng.randrange(-300, 4000) for _ in range(300)]]
+    out = [(rng.choice(["a", "b", None]), None if t is None else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t), i, None if i % 5 == 0 else float(rng.randrange(100))) for i, t in enumerate(times + times)]
+    df = spark.createDataFrame(out, "k string, t timestamp, i int, v double")
+    w = Window.partitionBy("k").orderBy(F.unix_micros("t")).rangeBetween(-60_000_000, 0)
+    want = df.withColumns({"trailing_mean": F.avg("v").over(w), "trailing_count": F.count("*").over(w)})
+    assert canonical(W.trailing(df, SPEC, "v", 60)) == canonical(want)
+
+
+def test_hour_stats_are_running_sums(spark, data):
+    """A frame with two ends is added up anew for each row; one that begins with the first row is not."""
+    plan = catalog.queries()["sliced_hour_stats"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", plan)
+    assert frames and set(frames) == {"unboundedpreceding$()"}

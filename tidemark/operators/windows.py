@@ -2,7 +2,7 @@
 
 Every function takes one SeriesSpec, so that all windows of a call share one exchange and one sort. A series that is
 too long for one task goes through ``ranges.by_rows``, which cuts it by range and copies as many rows as a window looks
-back or ahead, or through ``in_slices``, which does so by time.
+back or ahead, or through ``in_slices``, which does so by time; means over a time of any length are ``trailing``.
 """
 
 from __future__ import annotations
@@ -145,3 +145,23 @@ def in_slices(df: DataFrame, spec: SeriesSpec, seconds: int, reach_seconds: int,
     copies = df.withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(own, last)))
     sliced = SeriesSpec((*spec.keys, "_slice"), spec.time, spec.ties, spec.metrics)
     return f(copies, sliced).where("_slice = _own").drop("_own", "_slice")
+
+
+def trailing(df: DataFrame, spec: SeriesSpec, metric: str, seconds: int) -> DataFrame:
+    """``trailing_mean`` of the known values and ``trailing_count`` of the rows over the last ``seconds``, up to and with
+    all rows of the row's own time; rows without a time are one group.
+
+    Each series is cut into panes of that length, so a window is the end of one pane and the beginning of the next. Both
+    are running sums, one from behind and one from the front, that begin anew in each pane: work grows with the rows,
+    however many of them a window holds, and nothing is taken away from a sum.
+    """
+    width = seconds * 1_000_000
+    t = df.withColumn("_at", _micros(spec.time)).withColumn("_own", F.col("_at") - F.pmod("_at", F.lit(width)))
+    t = t.withColumn("_pane", F.explode(F.when(F.col("_own").isNull(), F.array("_own")).otherwise(F.array("_own", F.col("_own") + width))))
+    group, own = Window.partitionBy(*spec.keys, "_pane"), F.col("_pane").eqNullSafe(F.col("_own"))
+    parts = [(own, group.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)), (~own, group.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, width))]
+    value = F.col(metric).cast("double")
+    for i, (side, w) in enumerate(parts):
+        t = t.withColumns({f"_sum_{i}": F.coalesce(F.sum(F.when(side, value)).over(w), F.lit(0.0)), f"_known_{i}": F.count(F.when(side, value)).over(w), f"_rows_{i}": F.count_if(side).over(w)})
+    t = t.withColumns({"trailing_mean": F.try_divide(F.col("_sum_0") + F.col("_sum_1"), F.col("_known_0") + F.col("_known_1")), "trailing_count": F.col("_rows_0") + F.col("_rows_1")})
+    return t.where(own).select(*df.columns, "trailing_mean", "trailing_count")

@@ -51,16 +51,9 @@ def rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(R + "SELECT event_id, station, round(avg(temperature) OVER w, 6) AS hour_mean, count(*) OVER w AS hour_count FROM r WINDOW w AS (PARTITION BY station ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)")
 def sliced_hour_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few long series: each is cut into days, with an hour of overlap, before the window."""
-    spec = SeriesSpec(("station",), "ts", ("event_id",))
-
-    def stats(df: DataFrame, s: SeriesSpec) -> DataFrame:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(*s.keys).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
-        return df.withColumns({"hour_mean": F.avg("temperature").over(w), "hour_count": F.count("*").over(w)})
-
-    return rounded(W.in_slices(readings(spark, sf_dir).select("event_id", "station", "ts", "temperature"), spec, 86_400, 3600, stats).select("event_id", "station", "hour_mean", "hour_count"))
+    """Few long series: each is cut into hours, and a window is the end of one and the beginning of the next."""
+    t = W.trailing(readings(spark, sf_dir).select("event_id", "station", "ts", "temperature"), SeriesSpec(("station",), "ts", ("event_id",)), "temperature", 3600)
+    return rounded(t.select("event_id", "station", F.col("trailing_mean").alias("hour_mean"), F.col("trailing_count").alias("hour_count")))
 
 
 @query(R + f"""SELECT event_id, user_id, round(humidity - lag(humidity) OVER w, 6) AS humidity_diff_1, round(humidity - lag(humidity, 7) OVER w, 6) AS humidity_diff_7, round(humidity / nullif(lag(humidity, 7) OVER w, 0) - 1, 6) AS humidity_pct_7 FROM r WINDOW w AS {WIN}""")
