@@ -155,3 +155,13 @@ def test_drift_on_a_stream(spark, tmp_path):
         own = got.where(F.col("k") == k).orderBy("i").collect()
         want = page_hinkley([v for key, _, _, v in rows if key == k], 0.2, 10.0, 10)
         assert [(round(r["statistic"], 9), r["drifted"]) for r in own] == [(round(s, 9), d) for s, d in want]
+
+
+def test_calls_do_not_grow_with_the_keys(spark, tmp_path):
+    """Keys share their buckets' calls, and each keeps its own values."""
+    rows = [(f"k{j}", 60 * i + j, 100 * i + j, float(i * j % 7)) for i in range(3) for j in range(40)]
+    write(spark, tmp_path / "in", [*rows, END], 1)
+    df = ordered.ordered_changes(stream(spark, tmp_path / "in"), "k", "t", "v", k=3, ties=["i"])
+    assert ordered.BUCKET in df._jdf.queryExecution().analyzed().toString()
+    _, got = finished(spark, df, tmp_path)
+    assert as_text(got.collect()) == wanted(spark, rows)
