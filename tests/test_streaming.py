@@ -122,6 +122,59 @@ def test_stateful_marks_rows_older_than_the_state(spark, tmp_path):
     assert got == {1.0: (False, None), 2.0: (False, 1.0), 9.0: (True, None), 4.0: (False, 2.0)}
 
 
+def changes_of(spark, folder, **options):
+    q = run(features.file_sink(stateful.changes(stream(spark, folder / "in"), "k", "t", "v", k=3, ties=["i"], **options), str(folder / "out"), str(folder / "cp")))
+    return q, spark.read.parquet(str(folder / "out"))
+
+
+def test_calls_of_stateful_changes_do_not_grow_with_the_keys(spark, tmp_path):
+    """600 keys share 256 buckets, whose state is one row each, and every key keeps its own values over two batches."""
+    rows = [(f"k{j}", 600 * i + j, 1000 * i + j, None if (i + j) % 5 == 0 else float(i * j % 7)) for i in range(6) for j in range(600)]
+    for n in range(2):
+        write(spark, tmp_path / "in", rows[1800 * n : 1800 * n + 1800], n)
+    q, got = changes_of(spark, tmp_path)
+    assert 0 < max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) <= 256
+    batch = spark.read.schema(SCHEMA).json(str(tmp_path / "in"))
+    batch = W.difference(W.trend(W.rate_of_change(batch, SPEC, ["v"]), SPEC, "v", 3), SPEC, "v")
+    assert as_text(got.select("k", "t", "v", "rate", "trend", "change").collect()) == as_text(batch.select("k", "t", "v", "v_rate", "v_trend", "v_change").collect())
+    assert got.where("late_for_state").isEmpty()
+
+
+@pytest.mark.parametrize("buckets", [1, 256])
+def test_stateful_keys_of_a_bucket_end_one_by_one(spark, tmp_path, buckets):
+    """By a timer without rows, over a restart, and beside rows of other keys."""
+    write(spark, tmp_path / "in", [("a", 0, 1, 1.0), ("c", 4500, 2, 2.0)], 1)
+    q, _ = changes_of(spark, tmp_path, idle_ms=3_600_000, buckets=buckets)
+    assert q.recentProgress[-1].stateOperators[0].numRowsTotal == 1  # c; a is gone
+    write(spark, tmp_path / "in", [("a", 4600, 3, 5.0), ("c", 4600, 4, 6.0)], 2)
+    write(spark, tmp_path / "in", [("c", 9000, 5, 7.0)], 3)
+    write(spark, tmp_path / "in", [("c", 9001, 6, 9.0)], 4)  # a ends beside it
+    write(spark, tmp_path / "in", [("a", 9002, 7, 3.0), ("c", 9002, 8, 3.0)], 5)
+    _, got = changes_of(spark, tmp_path, idle_ms=3_600_000, buckets=buckets)
+    assert [(r["k"], r["v"], r["change"], r["rate"]) for r in got.orderBy("k", "t").collect()] == [
+        ("a", 1.0, None, 0.0), ("a", 5.0, None, 0.0), ("a", 3.0, None, 0.0),
+        ("c", 2.0, None, 0.0), ("c", 6.0, 4.0, 0.04), ("c", 7.0, 1.0, 1 / 4400), ("c", 9.0, 2.0, 2.0), ("c", 3.0, -6.0, -6.0),
+    ]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_stateful_keys_and_ties_keep_their_values(spark, tmp_path, kind):
+    """A null key beside keys beyond 2 ** 53, ties beyond it beside a null tie, and rows without a time."""
+    big = 2**60 + 1
+    for n in range(2):
+        write(spark, tmp_path / "in", [(k, 10 * n, i, v + n) for k in (None, big, big + 1) for i, v in ((None, 8.0), (big + 1, 4.0), (big, 1.0))], n)
+    (tmp_path / "in" / "2.json").write_text("".join(json.dumps({"k": k, "t": None, "i": 1, "v": 1.0}) + "\n" for k in (big, 5)))
+    s = log.read_stream(spark, str(tmp_path / "in"), SCHEMA.replace("k string", f"k {kind}"), files_per_batch=1)
+    run(features.file_sink(stateful.changes(s, "k", "t", "v", ties=["i"]), str(tmp_path / "out"), str(tmp_path / "cp")))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.schema["k"].dataType == s.schema["k"].dataType
+    as_key = str if kind == "string" else int
+    for k in (None, as_key(big), as_key(big + 1)):
+        own = got.where(F.col("k").eqNullSafe(F.lit(k)) & ~F.col("late_for_state"))
+        assert sorted((r["v"], -99 if r["change"] is None else r["change"]) for r in own.collect()) == [(1.0, -99), (2.0, -6.0), (4.0, 3.0), (5.0, 3.0), (8.0, 4.0), (9.0, 4.0)]
+    assert sorted((r["k"], r["t"], r["v"], r["change"]) for r in got.where("late_for_state").collect()) == sorted((as_key(k), None, 1.0, None) for k in (big, 5))
+
+
 def test_online_accuracy_stream_equals_batch(spark, tmp_path):
     write(spark, tmp_path / "p", [("a", 600 * i, i, float(i)) for i in range(12)], 1)
     write(spark, tmp_path / "a", [("a", 600 * i + 60, i, float(i) + 1) for i in range(12)], 1)

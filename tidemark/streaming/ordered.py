@@ -126,6 +126,16 @@ class _InOrder(StatefulProcessor):
         pass
 
 
+def dealt(rows: DataFrame, kept: Sequence[str], buckets: int) -> tuple[DataFrame, dict[str, StructField], list[str]]:
+    """Rows of KEY, TIME and ``kept`` with their bucket and MICROS; their fields, and which are whole numbers."""
+    df = rows.withColumns({MICROS: F.unix_micros(TIME), BUCKET: F.pmod(F.xxhash64(KEY), F.lit(buckets))})
+    fields = {f.name: f for f in df.schema.fields}
+    # A null among whole numbers would make them floating-point numbers on the way to the operator.
+    whole = [c for c in [KEY, *kept] if isinstance(fields[c].dataType, IntegralType)]
+    df = df.withColumns({f"{c}_missing": F.col(c).isNull() for c in whole}).withColumns({c: F.coalesce(c, F.lit(0).cast(fields[c].dataType)) for c in whole})
+    return df, fields, whole
+
+
 def in_order(stream: DataFrame, key: str, time: str, columns: Sequence[str], step: Step, state: str, made: str, ties: Sequence[str] = (), late: str = "10 minutes", idle_ms: int = 86_400_000, buckets: int = 256) -> DataFrame:
     """key, time, ties, columns and what ``step`` makes of them.
 
@@ -135,11 +145,7 @@ def in_order(stream: DataFrame, key: str, time: str, columns: Sequence[str], ste
     """
     kept = list(dict.fromkeys([*ties, *columns]))
     df = stream.select(F.col(key).alias(KEY), F.col(time).cast("timestamp").alias(TIME), *kept).where(f"{TIME} is not null").withWatermark(TIME, late)
-    df = df.withColumns({MICROS: F.unix_micros(TIME), BUCKET: F.pmod(F.xxhash64(KEY), F.lit(buckets))})
-    fields = {f.name: f for f in df.schema.fields}
-    # A null among whole numbers would make them floating-point numbers on the way to the operator.
-    whole = [c for c in [KEY, *kept] if isinstance(fields[c].dataType, IntegralType)]
-    df = df.withColumns({f"{c}_missing": F.col(c).isNull() for c in whole}).withColumns({c: F.coalesce(c, F.lit(0).cast(fields[c].dataType)) for c in whole})
+    df, fields, whole = dealt(df, kept, buckets)
     carried = [StructField(c, fields[c].dataType) for c in (KEY, MICROS, *kept)]
     out = StructType([*carried, *StructType.fromDDL(made).fields])
     t = df.groupBy(BUCKET).transformWithStateInPandas(_InOrder(carried, whole, ties, step, state, idle_ms, out.names), out, "Append", "EventTime")
